@@ -26,30 +26,35 @@ def sequence_sets(reads: DataFrame) -> DataFrame:
     return reads.groupBy("seq").agg(F.min("read_id").alias("seq_id"), F.count("*").alias("copies"))
 
 
+def _hashed(seqs: DataFrame, k: int) -> DataFrame:
+    """k-mer table keyed by 8 bytes.  A collision can only add a candidate, which scoring removes."""
+    return kmer_table(seqs, k, ["seq_id"]).select("seq_id", "pos", F.xxhash64("kmer").alias("key"))
+
+
 def _costs(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     """``q_id, costs``: posting count of every k-mer position in the target set."""
-    counts = kmer_table(targets, k, ["seq_id"]).groupBy("kmer").agg(F.count("*").alias("n"))
-    occ = kmer_table(queries, k, ["seq_id"]).join(counts, "kmer", "left").select(
+    counts = _hashed(targets, k).groupBy("key").agg(F.count("*").alias("n"))
+    occ = _hashed(queries, k).join(counts, "key", "left").select(
         F.col("seq_id").alias("q_id"), F.struct("pos", F.coalesce("n", F.lit(0)).alias("n")).alias("c"))
     # one array entry per base of one read
     return occ.groupBy("q_id").agg(F.transform(F.array_sort(F.collect_list("c")), lambda x: x["n"]).alias("costs"))
 
 
 def anchors(queries: DataFrame, targets: DataFrame, k: int, tau: int, strategy: str) -> DataFrame:
-    """``q_id, pos, kmer``: the cheapest set of disjoint k-mers of each query."""
+    """``q_id, pos, key``: the cheapest set of disjoint k-mers of each query."""
     count = tau + SEEDS[strategy]
     long_enough = queries.where(F.length("seq") >= minimum_read_length(k, tau, strategy))
     chosen = _costs(long_enough, targets, k).select("q_id", A.choose_anchors("costs", k, count).alias("at"))
     placed = chosen.join(long_enough.select(F.col("seq_id").alias("q_id"), "seq"), "q_id")
     return placed.select("q_id", F.explode(F.transform("at", lambda p: F.struct(
-        p.alias("pos"), S.piece("seq", p, k).alias("kmer")))).alias("a")).select("q_id", "a.pos", "a.kmer")
+        p.alias("pos"), F.xxhash64(S.piece("seq", p, k)).alias("key")))).alias("a")).select("q_id", "a.pos", "a.key")
 
 
 def anchored_candidates(queries: DataFrame, targets: DataFrame, k: int, tau: int, strategy: str) -> DataFrame:
     """``q_id, t_id``: targets sharing enough of the query's anchors."""
     need = SEEDS[strategy]
-    index = kmer_table(targets, k, ["seq_id"]).select("kmer", F.col("seq_id").alias("t_id")).distinct()
-    shared = anchors(queries, targets, k, tau, strategy).join(index, "kmer")
+    index = _hashed(targets, k).select("key", F.col("seq_id").alias("t_id")).distinct()
+    shared = anchors(queries, targets, k, tau, strategy).join(index, "key")
     if need == 1:
         return shared.select("q_id", "t_id").distinct()
     return (shared.groupBy("q_id", "t_id").agg(F.count_distinct("pos").alias("n"))
@@ -71,11 +76,11 @@ def _seed_rows(seqs: DataFrame, tau: int, probing: bool) -> DataFrame:
     blocks = levels.select("seq_id", "seq", "lv", size.alias("size"), F.explode(F.sequence(F.lit(0), F.lit(tau))).alias("block"))
     if not probing:
         own = (F.col("lv") == F.floor(F.log2(length.cast("double"))).cast("int"))
-        return blocks.where(own).select("seq_id", "lv", "block", S.piece("seq", F.col("block") * F.col("size"), F.col("size")).alias("seed"))
+        return blocks.where(own).select("seq_id", "lv", "block", F.xxhash64(S.piece("seq", F.col("block") * F.col("size"), F.col("size"))).alias("seed"))
     moved = blocks.select("*", F.explode(F.sequence(F.lit(-tau), F.lit(tau))).alias("move"))
     start = F.col("block") * F.col("size") + F.col("move")
     return (moved.where((start >= 0) & (start + F.col("size") <= length))
-            .select("seq_id", "lv", "block", S.piece("seq", start, F.col("size")).alias("seed")).distinct())
+            .select("seq_id", "lv", "block", F.xxhash64(S.piece("seq", start, F.col("size"))).alias("seed")).distinct())
 
 
 def seeded_pairs(a: DataFrame, b: DataFrame, tau: int) -> DataFrame:
