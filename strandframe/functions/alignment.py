@@ -359,6 +359,20 @@ def choose_anchors(costs, k: int, count: int):
     return choose(costs)
 
 
+def overlap_scores(s1, s2, shift, match: int = 1, penalty: int = 5):
+    """Match and mismatch score of the overlap at a given shift, for long sequences."""
+    @F.pandas_udf("long")
+    def score(a: pd.Series, b: pd.Series, at: pd.Series) -> pd.Series:
+        out = []
+        for x, y, d in zip(a, b, at):
+            u, v = _codes(x)[max(d, 0):], _codes(y)[max(-d, 0):]
+            n = min(len(u), len(v))
+            wrong = int(np.count_nonzero(u[:n] != v[:n]))
+            out.append((n - wrong) * match - wrong * penalty)
+        return pd.Series(out, dtype="int64")
+    return score(s1, s2, shift)
+
+
 def shift_matches(s1, s2):
     @F.pandas_udf("long")
     def count(a: pd.Series, b: pd.Series) -> pd.Series:

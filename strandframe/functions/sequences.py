@@ -30,16 +30,34 @@ def piece(seq, start, length) -> Column:
     return F.substring(raw, (_n(start) + 1).cast("int"), _n(length).cast("int")).cast("string")
 
 
-def base_at(seq, i) -> Column:
-    return piece(seq, i, 1)
-
-
 def indices(count) -> Column:
     """``0 .. count-1``, empty when ``count <= 0``."""
     n = _n(count).cast("int")
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
+def bound(body, **values) -> Column:
+    """Evaluate ``values`` once and hand them to ``body`` as fields of one variable.
+
+    Inside a lambda a plain column would be computed again for every element.
+    """
+    one = F.array(F.struct(*[v.alias(k) for k, v in values.items()]))
+    return F.get(F.transform(one, body), F.lit(0))
+
+
+def _raw(c) -> Column:
+    return _col(c).cast("binary")
+
+
+def _at(raw, i) -> Column:
+    """One base of a binary sequence at the 0-based ``i``."""
+    return F.substring(raw, i + 1, F.lit(1))
+
+
+def _cut(raw, start, length) -> Column:
+    return F.substring(raw, start + 1, _n(length))
+
+
 # -- complements -------------------------------------------------------------
 
 def complement(seq, keep_n: bool = True) -> Column:
@@ -55,10 +73,10 @@ def reverse_complement(seq, keep_n: bool = True) -> Column:
 
 def mismatches(s1, start1, s2, start2, length) -> Column:
     """Number of differing bases in two windows of the same length."""
-    a = piece(s1, start1, length).cast("binary")
-    b = piece(s2, start2, length).cast("binary")
-    step = lambda acc, i: acc + F.when(F.substring(a, i + 1, F.lit(1)) != F.substring(b, i + 1, F.lit(1)), 1).otherwise(0)
-    return F.aggregate(indices(length), F.lit(0), step)
+    def count(v):
+        differ = lambda acc, i: acc + F.when(_at(v["a"], i) != _at(v["b"], i), 1).otherwise(0)
+        return F.aggregate(v["i"], F.lit(0), differ)
+    return bound(count, a=_raw(piece(s1, start1, length)), b=_raw(piece(s2, start2, length)), i=indices(length))
 
 
 def hamming(s1, s2) -> Column:
@@ -76,8 +94,8 @@ def hamming_shorter(s1, s2) -> Column:
 
 
 def differing_positions(s1, s2) -> Column:
-    a, b = _col(s1), _col(s2)
-    return F.filter(indices(F.least(F.length(a), F.length(b))), lambda i: base_at(a, i) != base_at(b, i))
+    n = F.least(F.length(_col(s1)), F.length(_col(s2)))
+    return bound(lambda v: F.filter(v["i"], lambda i: _at(v["a"], i) != _at(v["b"], i)), a=_raw(s1), b=_raw(s2), i=indices(n))
 
 
 def overlap_length(s1, start1, s2, start2) -> Column:
@@ -125,9 +143,9 @@ def merge_with_overlap(parts, k) -> Column:
 
 def similar_to_right(s1, s2, k: int) -> Column:
     """True when some suffix of ``s1`` of at least ``k`` bases starts ``s2``."""
-    a, b = _col(s1), _col(s2)
-    fits = lambda i: (F.length(b) >= F.length(a) - i) & F.startswith(b, piece(a, i, F.length(a)))
-    return F.exists(indices(F.length(a) - k + 1), fits)
+    n1, n2 = F.length(_col(s1)), F.length(_col(s2))
+    fits = lambda v: F.exists(v["i"], lambda i: (v["n2"] >= v["n1"] - i) & F.startswith(v["b"], _cut(v["a"], i, v["n1"])))
+    return bound(fits, a=_raw(s1), b=_raw(s2), n1=n1, n2=n2, i=indices(n1 - k + 1))
 
 
 def similar_to_left(s1, s2, k: int) -> Column:
@@ -138,8 +156,8 @@ def similar_to_left(s1, s2, k: int) -> Column:
 
 def kmers(seq, k: int) -> Column:
     """All k-mers in order; empty when the sequence is shorter than ``k``."""
-    s = _col(seq)
-    return F.transform(indices(F.length(s) - k + 1), lambda i: piece(s, i, k))
+    every = lambda v: F.transform(v["i"], lambda i: _cut(v["s"], i, k).cast("string"))
+    return bound(every, s=_raw(seq), i=indices(F.length(_col(seq)) - k + 1))
 
 
 def kmer_shift_left(kmer, base) -> Column:
@@ -168,6 +186,14 @@ def first_valid_kmer(seq, k: int, start: int = 0) -> Column:
     return F.when(at > 0, at - 1 + start)
 
 
+def good_positions(seq, quality, threshold: int, offset: int = 33) -> Column:
+    """0-based positions of known bases whose quality exceeds ``threshold``."""
+    unknown = F.lit("N").cast("binary")
+    fine = lambda v: F.filter(v["i"], lambda i: (_at(v["s"], i) != unknown) & (
+        F.ascii(_at(v["q"], i).cast("string")) - offset > threshold))
+    return bound(fine, s=_raw(seq), q=_raw(quality), i=indices(F.length(_col(seq))))
+
+
 # -- validity ----------------------------------------------------------------
 
 def is_valid(seq, accept_empty: bool = False) -> Column:
@@ -192,11 +218,11 @@ def stop_codon_position(seq, frame: int) -> Column:
     The last codon looked at starts before ``length - 3``; the sequence length
     stands for "none".
     """
-    s = _col(seq)
-    last = F.floor((F.length(s) - 3 - frame) / 3).cast("int")
-    hits = F.filter(F.transform(indices(last - 1), lambda i: (i + 1) * 3 + frame),
-                    lambda p: piece(s, p, 3).isin(*STOP_CODONS))
-    return F.when(F.size(hits) > 0, F.try_element_at(hits, F.lit(1))).otherwise(F.length(s))
+    n = F.length(_col(seq))
+    last = F.floor((n - 3 - frame) / 3).cast("int")
+    starts = F.transform(indices(last - 1), lambda i: (i + 1) * 3 + frame)
+    stops = lambda v: F.filter(v["p"], lambda p: _cut(v["s"], p, 3).cast("string").isin(*STOP_CODONS))
+    return F.coalesce(F.array_min(bound(stops, s=_raw(seq), p=starts)), n)
 
 
 def has_stop_codon_in_all_frames(seq) -> Column:
@@ -209,11 +235,11 @@ def has_stop_codon_in_all_frames(seq) -> Column:
 
 def alignment_symbols(s1, s2) -> Column:
     """Per column of two aligned rows: ``.`` equal, ``!`` gap, ``_`` mismatch."""
-    a, b = _col(s1), _col(s2)
-    return F.array_join(F.transform(
-        indices(F.least(F.length(a), F.length(b))),
-        lambda i: F.when(base_at(a, i) == base_at(b, i), ".")
-        .when((base_at(a, i) == "-") | (base_at(b, i) == "-"), "!").otherwise("_")), "")
+    n = F.least(F.length(_col(s1)), F.length(_col(s2)))
+    gap = F.lit("-").cast("binary")
+    mark = lambda v: lambda i: F.when(_at(v["a"], i) == _at(v["b"], i), ".").when(
+        (_at(v["a"], i) == gap) | (_at(v["b"], i) == gap), "!").otherwise("_")
+    return F.array_join(bound(lambda v: F.transform(v["i"], mark(v)), a=_raw(s1), b=_raw(s2), i=indices(n)), "")
 
 
 def gap_free(symbols) -> Column:
@@ -227,9 +253,10 @@ def mismatch_count(symbols) -> Column:
 
 def relative_mismatch_positions(symbols) -> Column:
     """``i / length`` for every mismatch column."""
-    s = _col(symbols)
-    at = F.filter(indices(F.length(s)), lambda i: base_at(s, i) == "_")
-    return F.transform(at, lambda i: i / F.length(s))
+    n = F.length(_col(symbols))
+    miss = F.lit("_").cast("binary")
+    at = bound(lambda v: F.filter(v["i"], lambda i: _at(v["s"], i) == miss), s=_raw(symbols), i=indices(n))
+    return F.transform(at, lambda i: i / n)
 
 
 # -- names, numbers, text ----------------------------------------------------

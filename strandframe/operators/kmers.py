@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandframe.functions import alignment as A
 from strandframe.functions import sequences as S
 from strandframe.session import broadcast_if_small
 
 WINDOW = 256
 
 
+def _windows(reads: DataFrame, k: int, ids: list[str], seq_col: str) -> DataFrame:
+    """Pieces that together hold every k-mer once."""
+    return reads.where(F.length(seq_col) >= k).select(
+        *ids, seq_col, F.explode(F.sequence(F.lit(0), F.length(seq_col) - k, F.lit(WINDOW))).alias("_at")
+    ).select(*ids, "_at", S.piece(seq_col, F.col("_at"), WINDOW + k - 1).alias("_w"))
+
+
 def kmer_table(reads: DataFrame, k: int, id_cols: list[str] | None = None, seq_col: str = "seq") -> DataFrame:
     """``id.., pos, kmer`` for every k-mer of every read, duplicates included.
 
@@ -18,13 +26,18 @@ def kmer_table(reads: DataFrame, k: int, id_cols: list[str] | None = None, seq_c
     never costs a copy of the whole sequence.
     """
     ids = id_cols or ["read_id"]
-    windows = reads.where(F.length(seq_col) >= k).select(
-        *ids, seq_col, F.explode(F.sequence(F.lit(0), F.length(seq_col) - k, F.lit(WINDOW))).alias("_at")
-    ).select(*ids, "_at", S.piece(seq_col, F.col("_at"), WINDOW + k - 1).alias("_w"))
+    windows = _windows(reads, k, ids, seq_col)
     return windows.select(*ids, "_at", "_w", F.explode(F.sequence(F.lit(0), F.length("_w") - k)).alias("_p")).select(
         *ids, (F.col("_at") + F.col("_p")).alias("pos"), S.piece("_w", F.col("_p"), k).alias("kmer"))
 
 
+def smallest_kmer(reads: DataFrame, k: int, id_cols: list[str] | None = None, seq_col: str = "seq") -> DataFrame:
+    """``id.., sketch``: the smallest k-mer of each read, taken per piece first."""
+    ids = id_cols or ["read_id"]
+    pieces = _windows(reads, k, ids, seq_col).select(*ids, F.array_min(S.kmers("_w", k)).alias("_m"))
+    return pieces.groupBy(*ids).agg(F.min("_m").alias("sketch"))
+
+
 def distinct_kmers(reads: DataFrame, k: int) -> DataFrame:
     return kmer_table(reads, k).select("kmer").distinct()
 
@@ -90,10 +103,9 @@ def scored_neighbours(repertoires: DataFrame, k: int = 80, min_overlap: int = 30
     pairs = shared_kmers(repertoires, k, min_overlap, indent, stop_word_limit())
     left = repertoires.select(F.col("rep_id").alias("rep_a"), F.col("cluster_id").alias("a_id"), F.col("seq").alias("_sa"))
     right = repertoires.select(F.col("rep_id").alias("rep_b"), F.col("cluster_id").alias("b_id"), F.col("seq").alias("_sb"))
-    start_a, start_b = F.greatest(F.col("shift"), F.lit(0)), F.greatest(-F.col("shift"), F.lit(0))
     scored = (pairs.join(left, ["rep_a", "a_id"]).join(right, ["rep_b", "b_id"])
               .select("rep_a", "a_id", "rep_b", "b_id",
-                      S.overlap_score("_sa", start_a, "_sb", start_b, match, penalty).cast("long").alias("score")))
+                      A.overlap_scores("_sa", "_sb", "shift", match, penalty).alias("score")))
     return scored.where("score > 0").groupBy("rep_a", "a_id", "rep_b", "b_id").agg(F.max("score").alias("score"))
 
 

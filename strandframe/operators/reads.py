@@ -81,11 +81,9 @@ def trim(reads: DataFrame, left: Column, right: Column, *cols: str) -> DataFrame
 def trim_unknown_and_bad(reads: DataFrame, threshold: int, offset: int = 33,
                          seq_col: str = "seq", quality_col: str = "quality") -> DataFrame:
     """Trim N bases and bases of quality ``<= threshold`` from both ends."""
-    good = F.filter(S.indices(F.length(seq_col)), lambda i: (S.base_at(seq_col, i) != "N") & (
-        F.ascii(S.base_at(quality_col, i)) - offset > threshold))
-    left = F.coalesce(F.array_min(good), F.length(seq_col))
-    right = F.coalesce(F.array_max(good), F.lit(-1))
-    marked = reads.withColumns({"_left": left, "_right": right})
+    good = reads.withColumn("_good", S.good_positions(seq_col, quality_col, threshold, offset))
+    marked = good.withColumns({"_left": F.coalesce(F.array_min("_good"), F.length(seq_col)),
+                               "_right": F.coalesce(F.array_max("_good"), F.lit(-1))}).drop("_good")
     return trim(marked, F.col("_left"), F.col("_right"), seq_col, quality_col).drop("_left", "_right")
 
 

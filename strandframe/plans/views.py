@@ -17,6 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores when a small file yields fewer scan partitions than there are.
+
+    Large tables have more partitions than cores and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
+def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *cols), "doc_id")
+
+
 def to_bases(text):
     """Letters to bases; everything that is no ASCII letter is dropped."""
     return F.translate(F.regexp_replace(text, "[^A-Za-z]", ""), LETTERS, BASES)
@@ -30,12 +43,12 @@ def to_bases_with_n(text):
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``read_id, source, seq``: one read per document, whole text."""
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir, "source").select(
         F.col("doc_id").alias("read_id"), "source", to_bases(F.col("text")).alias("seq"))
 
 
 def reads_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir, "source").select(
         F.col("doc_id").alias("read_id"), "source", to_bases_with_n(F.col("text")).alias("seq"))
 
 
@@ -43,14 +56,15 @@ def word_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``read_id, seq``: every word of every document as a short read with N bases."""
     spaced = F.regexp_replace("text", r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", " ")
     bases = F.translate(F.regexp_replace(spaced, "[^A-Za-z ]", "#"), LETTERS + "#", BASES + "N")
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(bases, " ")).alias("pos", "seq"))
+    words = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split(bases, " ")).alias("pos", "seq"))
     return words.where("seq <> ''").select(
         (F.col("doc_id") * F.lit(4294967296) + F.col("pos")).alias("read_id"), "seq")
 
 
 def turn_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conv_id, turn, role, seq``: every conversation turn as a read."""
-    return table(spark, sf_dir, "conversations").select(
+    turns = spread(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+    return turns.select(
         "conv_id", F.col("turn").cast("long").alias("turn"), "role", to_bases(F.col("text")).alias("seq"))
 
 

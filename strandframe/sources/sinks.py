@@ -9,3 +9,14 @@ from pyspark.sql import functions as F
 def neighbour_lines(scored: DataFrame) -> DataFrame:
     """``rep.cluster - rep.cluster (score = s)`` per scored pair."""
     return scored.select(F.format_string("%d.%d - %d.%d (score = %d)", "rep_a", "a_id", "rep_b", "b_id", "score").alias("line"))
+
+
+def metric_lines(metrics: DataFrame) -> DataFrame:
+    """``metric<TAB>value`` rows."""
+    return metrics.select(F.concat_ws("\t", "metric", F.col("value").cast("string")).alias("line"))
+
+
+def cluster_fasta_lines(clusters: DataFrame) -> DataFrame:
+    """FASTA records with ``cluster___id___size___n`` names, one two-line value each."""
+    header = F.concat(F.lit(">cluster___"), F.col("cluster_id"), F.lit("___size___"), F.col("size"))
+    return clusters.select(F.concat(header, F.lit("\n"), F.col("seq")).alias("value"))
