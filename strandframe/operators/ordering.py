@@ -83,3 +83,43 @@ def neighbour_values(df: DataFrame, keys: list[str], previous: dict[str, str] |
                   .withColumn(out, F.when(F.col("_last"), F.col("_edge")).otherwise(F.col(out)))
                   .drop("_edge", "_last"))
     return result.drop(RANGE)
+
+
+_JOIN_CARRY = {
+    "sum": lambda here, before: here + F.coalesce(before, F.lit(0)),
+    "min": lambda here, before: F.least(here, before),
+    "max": lambda here, before: F.greatest(here, before),
+}
+_AGGREGATE = {"sum": F.sum, "min": F.min, "max": F.max}
+
+
+def keyed_ranges(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Ranges over ``keys + order``: a key with very many rows is spread over several."""
+    return split_ranges(df, *keys, *order)
+
+
+def keyed_running(split: DataFrame, keys: list[str], order: list[str], how: str, value: str, out: str,
+                  inclusive: bool = True) -> DataFrame:
+    """Running ``sum``, ``min`` or ``max`` of ``value`` per key over ranges from ``keyed_ranges``."""
+    agg, merge = _AGGREGATE[how], _JOIN_CARRY[how]
+    frame = Window.partitionBy(RANGE, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    totals = split.groupBy(RANGE, *keys).agg(agg(value).alias("_t"))
+    earlier = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.withColumn("_carry", agg("_t").over(earlier)).where("_carry IS NOT NULL").drop("_t")
+    joined = split.withColumn(out, agg(value).over(frame)).join(carry, [RANGE, *keys], "left")
+    here = F.coalesce(F.col(out), F.lit(0)) if how == "sum" else F.col(out)
+    return joined.withColumn(out, merge(here, F.col("_carry"))).drop("_carry")
+
+
+def keyed_previous(split: DataFrame, keys: list[str], order: list[str], value: str, out: str, step: int = 1) -> DataFrame:
+    """Value of the previous (``step=1``) or next (``step=-1``) row of the key, across range borders."""
+    w = Window.partitionBy(RANGE, *keys).orderBy(*order)
+    pick = F.max_by if step > 0 else F.min_by
+    edge = split.groupBy(RANGE, *keys).agg(pick(value, F.struct(*order)).alias("_edge"))
+    along = Window.partitionBy(*keys).orderBy(RANGE)
+    carry = edge.withColumn("_edge", F.lag("_edge", step).over(along) if step > 0 else F.lead("_edge", -step).over(along))
+    carry = carry.where("_edge IS NOT NULL")
+    here = F.lag(value).over(w) if step > 0 else F.lead(value).over(w)
+    at_edge = (F.lag(F.lit(1)).over(w) if step > 0 else F.lead(F.lit(1)).over(w)).isNull()
+    return split.withColumns({out: here, "_at_edge": at_edge}).join(carry, [RANGE, *keys], "left").withColumn(
+        out, F.when(F.col("_at_edge"), F.col("_edge")).otherwise(F.col(out))).drop("_edge", "_at_edge")
