@@ -62,21 +62,22 @@ def anchored_candidates(queries: DataFrame, targets: DataFrame, k: int, tau: int
 
 
 def _seed_rows(seqs: DataFrame, tau: int, probing: bool) -> DataFrame:
-    """Seeds of the first ``n`` bases, for every power-of-two ``n`` the read can serve.
+    """Seeds ``lv, block, seed``: blocks of ``2^lv`` bases at the start of a read.
 
-    A pair whose shorter read has ``m`` bases meets at the level of the largest
-    ``n <= m``: ``tau`` edits leave one of ``tau + 1`` blocks of that stretch intact,
-    displaced by at most ``tau``.
+    Of a pair within ``tau`` edits all but the last ``tau`` bases of the shorter read
+    are aligned.  ``tau`` edits leave one of ``tau + 1`` blocks of that stretch intact,
+    displaced by at most ``tau`` in the longer read.  The shorter read offers its
+    blocks at its largest level; the longer one answers at every level.
     """
-    length = F.length("seq")
-    levels = seqs.where(length > tau).select(
-        "seq_id", "seq", F.explode(F.sequence(F.lit(0), F.floor(F.log2(length.cast("double"))).cast("int"))).alias("lv"))
-    levels = levels.select("seq_id", "seq", "lv", F.expr("shiftleft(1, lv)").alias("n")).where(F.col("n") > tau)
-    size = F.floor(F.col("n") / (tau + 1)).cast("int")
-    blocks = levels.select("seq_id", "seq", "lv", size.alias("size"), F.explode(F.sequence(F.lit(0), F.lit(tau))).alias("block"))
+    length, count = F.length("seq"), tau + 1
+    stretch = length - F.lit(0 if probing else tau)
+    top = F.floor(F.log2(stretch / count)).cast("int")
+    usable = seqs.where(length > 2 * tau)
+    level = F.explode(F.sequence(F.lit(0), top)) if probing else top
+    blocks = usable.select("seq_id", "seq", level.alias("lv")).select(
+        "seq_id", "seq", "lv", F.expr("shiftleft(1, lv)").alias("size"), F.explode(F.sequence(F.lit(0), F.lit(tau))).alias("block"))
     if not probing:
-        own = (F.col("lv") == F.floor(F.log2(length.cast("double"))).cast("int"))
-        return blocks.where(own).select("seq_id", "lv", "block", F.xxhash64(S.piece("seq", F.col("block") * F.col("size"), F.col("size"))).alias("seed"))
+        return blocks.select("seq_id", "lv", "block", F.xxhash64(S.piece("seq", F.col("block") * F.col("size"), F.col("size"))).alias("seed"))
     moved = blocks.select("*", F.explode(F.sequence(F.lit(-tau), F.lit(tau))).alias("move"))
     start = F.col("block") * F.col("size") + F.col("move")
     return (moved.where((start >= 0) & (start + F.col("size") <= length))
@@ -116,9 +117,8 @@ def score_pairs(pairs: DataFrame, a: DataFrame, b: DataFrame, tau: int) -> DataF
 def best_hits(a: DataFrame, b: DataFrame, k: int = 36, tau: int = 3, strategy: str = "triple") -> DataFrame:
     """``side, q_id, hit_id, score``: best hits of every sequence on the other side, ties kept.
 
-    ``naive`` uses position-bound seeds instead of anchors and covers reads longer
-    than ``tau`` bases; shorter ones are within ``tau`` edits of everything and
-    carry no information.
+    ``naive`` uses position-bound seeds instead of anchors and needs reads of more
+    than ``2 * tau`` bases; the anchored strategies need ``minimum_read_length``.
     """
     pairs = seeded_pairs(a, b, tau) if strategy == "naive" else _both_ways(a, b, k, tau, strategy)
     scored = score_pairs(pairs, a, b, tau)
