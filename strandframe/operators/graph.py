@@ -162,11 +162,14 @@ def alternative_paths(edges: DataFrame, candidates: DataFrame, max_delta: float,
                              F.greatest(F.col("length") - delta, F.lit(0)).alias("lo"), (F.col("length") + delta).alias("hi"))
     ways = edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.col("edge_id").alias("via"),
                         F.col("length").alias("step"), (F.col("coverage") * F.col("length")).alias("mass"))
+    onward = edges.select(F.col("src").alias("to"), F.lit(True).alias("onward")).distinct()
+    ways = ways.join(onward, "to", "left")  # a step to a dead end helps only when that is the goal
     state = goal.select("bulge", "at", "goal", "lo", "hi", F.lit(0).cast("long").alias("len"), F.lit(0.0).alias("sum"),
                         F.array().cast(f"array<{dict(edges.dtypes)['edge_id']}>").alias("path"))
     found = None
     while True:
-        moved = state.join(ways, "at").where((F.col("via") != F.col("bulge")) & (F.col("len") + F.col("step") <= F.col("hi")))
+        moved = state.join(ways, "at").where((F.col("via") != F.col("bulge")) & (F.col("len") + F.col("step") <= F.col("hi"))
+                                             & (F.col("onward").isNotNull() | (F.col("to") == F.col("goal"))))
         state = cut_lineage(moved.groupBy("bulge", F.col("to").alias("at"), "goal", "lo", "hi", (F.col("len") + F.col("step")).alias("len")).agg(
             F.max(F.struct((F.col("sum") + F.col("mass")).alias("sum"), F.array_append("path", F.col("via")).alias("path"))).alias("_b"))
             .select("bulge", "at", "goal", "lo", "hi", "len", "_b.sum", "_b.path"))

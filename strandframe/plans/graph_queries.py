@@ -200,9 +200,3 @@ def agg25_histogram(spark, d):
 @query("gr6_clip_tips")
 def gr6(spark, d):
     return G.clip_tips(supply(spark, d), 20, 1000.0, 1.2)
-
-
-@query("gr7_remove_bulges")
-def gr7(spark, d):
-    """Orders of the same part and supplier are parallel edges."""
-    return G.remove_bulges(items(spark, d), 40, 1e6)
