@@ -6,12 +6,11 @@ the phrase set are reduced to their smallest values; two texts that would
 compress well together share phrases, and with them small hashes.
 """
 
-from __future__ import annotations
-
 import bisect
 import hashlib
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -110,15 +109,22 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text",
     def range_of(k) -> int:
         return 0 if k is None or k != k else bisect.bisect_left(borders, k)
 
-    ranged = F.pandas_udf(lambda keys: keys.map(range_of, na_action=None), "int", F.PandasUDFType.SCALAR)
+    @F.pandas_udf("int")
+    def ranged(keys: pd.Series) -> pd.Series:
+        return keys.map(range_of)
+
     firsts = (rows.groupBy(ranged(F.col("k")).alias("r")).agg(F.min(F.struct(F.col("k").isNotNull().alias("a"), "k")).alias("f"))
               .select("r", "f.k").orderBy("r").collect())
     before = {r["k"]: firsts[i - 1]["r"] for i, r in enumerate(firsts)}
 
-    def places(keys):
-        return keys.map(lambda k: [range_of(k), *([before[None if k != k else k]] if (None if k != k else k) in before else [])], na_action=None)
+    def ranges_of(k) -> list[int]:
+        k = None if k != k else k
+        return [range_of(k), before[k]] if k in before else [range_of(k)]
+
+    @F.pandas_udf("array<int>")
+    def placed(keys: pd.Series) -> pd.Series:
+        return keys.map(ranges_of)
 
-    placed = F.pandas_udf(places, "array<int>", F.PandasUDFType.SCALAR)
     spread = (rows.select("k", "t", F.posexplode(placed(F.col("k"))).alias("tail", "r")).repartitionById(n, "r")
               .sortWithinPartitions("r", "tail", F.col("k").asc_nulls_first(), "t"))
 

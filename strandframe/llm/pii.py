@@ -20,7 +20,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.shared import written
+from strandframe.llm.shared import let, written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -128,7 +128,10 @@ def candidates(text: Column) -> Column:
     Candidates are the matches of the base patterns, valid or not, and those of the
     wide patterns that overlap no base match of their kind.
     """
-    body = F.coalesce(text, F.lit(""))
+    return let(F.coalesce(text, F.lit("")), _candidates)
+
+
+def _candidates(body: Column) -> Column:
     lists = []
     for k, kind in enumerate(KINDS):
 
@@ -270,16 +273,17 @@ def masked(docs: DataFrame, text: str = "text", length: str | None = "n_chars")
     """
     found = docs.select(candidates(F.col(text)).alias("_spans"))
     weights = learn(vote_counts(written(found, "candidates")))["weights"]
-    spans = chosen(candidates(F.col(text)), weights)
-    body = F.col(text)
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
 
-    def step(acc, s):
+    def step(body, acc, s):
         piece = F.array(F.substring(body, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.element_at(names, s["kind"] + 1))
         fresh = s["start"] >= acc["at"]
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["parts"], piece)).otherwise(acc["parts"]).alias("parts"))
 
-    replaced = F.aggregate(spans, zero, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(body, (acc["at"] + 1).cast("int"), F.length(body))))
-    out = docs.withColumn(text, F.when(body.isNotNull(), replaced))
+    def replaced(body):
+        return F.aggregate(chosen(_candidates(body), weights), zero, lambda acc, s: step(body, acc, s),
+                           lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(body, (acc["at"] + 1).cast("int"), F.length(body))))
+
+    out = docs.withColumn(text, F.when(F.col(text).isNotNull(), let(F.col(text), replaced)))
     return out.withColumn(length, F.length(text).cast(docs.schema[length].dataType)) if length and length in docs.columns else out

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.shared import written
+from strandframe.llm.shared import let, written
 
 # Common words of the languages whose word histogram is compared.
 COMMON_WORDS = {
@@ -37,11 +37,11 @@ def words(text: Column) -> Column:
 def duplicate_lines(text: Column) -> Column:
     """Lines with a word that equal an earlier one."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
-    return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
+    return let(lines, lambda own: (F.size(own) - F.size(F.array_distinct(own))).cast("long"))
 
 
 def window_hashes(list_of: Column) -> Column:
-    """Hashes of all windows of three words, in order."""
+    """Hashes of all windows of three words, in order; ``list_of`` is a lambda variable."""
     n = F.size(list_of)
     at = F.when(n >= 3, F.sequence(F.lit(1), n - 2)).otherwise(F.array().cast("array<int>"))
     return F.transform(at, lambda i: F.xxhash64(F.element_at(list_of, i), F.element_at(list_of, i + 1), F.element_at(list_of, i + 2)))
@@ -76,21 +76,22 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     language = F.coalesce(F.col(lang), F.lit("")) if lang in docs.columns else F.lit("")
     lists = F.create_map(*[x for k, v in COMMON_WORDS.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in v]))])
     every = sorted({w for v in COMMON_WORDS.values() for w in v})
-    one = docs.select(F.col(key).alias("_key"), language.alias("_lang"), body.alias("_text"), words(body).alias("_words"), *extra)
-    two = one.select("*", window_hashes(F.col("_words")).alias("_windows")).select(
-                     *one.columns, by_hash(F.col("_windows")).alias("_placed"),
-                     F.filter(F.transform("_words", lambda w: F.when(F.length(w) <= 5, F.lower(w))), lambda w: w.isin(every)).alias("_hits"))
-
-    def kept(keep: str) -> Column:
-        return F.length(F.regexp_replace("_text", f"[^{keep}]+", "")).cast("long")
-
-    word_chars = F.length(F.array_join("_words", "")).cast("long")
-    three = two.select(
-        "_key", "_lang", *extra, F.size("_words").cast("long").alias("n_words"), word_chars.alias("word_chars"),
-        kept(r"#*$%&|<>").alias("n_symbols"), duplicate_lines(F.col("_text")).alias("n_dup_lines"),
-        repeated_words(F.col("_placed")).alias("n_repeat_words"),
-        kept(r"\p{Lu}").alias("_upper"), kept(r"\p{L}").alias("_letters"), kept("0-9").alias("_digits"), kept(r".,;:!?'\"()\-").alias("_marks"),
-        F.transform(F.try_element_at(lists, F.col("_lang")), lambda w: F.size(F.filter("_hits", lambda h: h == w)).cast("double")).alias("_common"))
+
+    def kept(own: Column, keep: str) -> Column:
+        return F.length(F.regexp_replace(own, f"[^{keep}]+", "")).cast("long")
+
+    def counts(own: Column, ws: Column) -> Column:
+        hits = F.filter(F.transform(ws, lambda w: F.when(F.length(w) <= 5, F.lower(w))), lambda w: w.isin(every))
+        common = let(hits, lambda found: F.transform(F.try_element_at(lists, language), lambda w: F.size(F.filter(found, lambda h: h == w)).cast("double")))
+        return F.struct(
+            F.size(ws).cast("long").alias("n_words"), F.length(F.array_join(ws, "")).cast("long").alias("word_chars"),
+            kept(own, r"#*$%&|<>").alias("n_symbols"), duplicate_lines(own).alias("n_dup_lines"),
+            let(window_hashes(ws), lambda hs: let(by_hash(hs), repeated_words)).alias("n_repeat_words"),
+            kept(own, r"\p{Lu}").alias("_upper"), kept(own, r"\p{L}").alias("_letters"), kept(own, "0-9").alias("_digits"),
+            kept(own, r".,;:!?'\"()\-").alias("_marks"), common.alias("_common"))
+
+    counted = let(body, lambda own: let(words(own), lambda ws: counts(own, ws)))
+    three = docs.select(F.col(key).alias("_key"), language.alias("_lang"), *extra, counted.alias("_c")).select("_key", "_lang", *extra, "_c.*")
     parts = [F.col("_letters") - F.col("_upper"), F.col("_upper"), F.col("_digits"), F.col("_marks"), F.col("n_symbols"),
              F.col("word_chars") - F.col("_letters") - F.col("_digits") - F.col("_marks") - F.col("n_symbols")]
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -40,6 +40,15 @@ def map_batches(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of ``value``, which is computed once however often ``fn`` uses it.
+
+    A column used inside a lambda may be merged into it by the optimizer and then
+    be computed for each element; a lambda variable never is.
+    """
+    return F.element_at(F.transform(F.array(value), lambda x: fn(x)), 1)
+
+
 def key_remainder(key: str, modulus: int):
     """crc32 of the key as text, modulo ``modulus``; a NULL key counts as -1, so it is in no class."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % modulus, F.lit(-1))
