@@ -86,6 +86,20 @@ class Parsed:
         return text, self._with(text)
 
 
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
+    """``key, fingerprint`` of every row: NULL and empty texts have the empty fingerprint.
+
+    Equal texts have equal fingerprints; other columns are ignored.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for keys, texts in batches:
+            yield keys, [to_text(signature(t or "", size)) for t in texts]
+
+    return map_batches(docs.select(key, text), run, f"`{key}` {kind}, fingerprint string")
+
+
 def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE,
                       ranges: int | None = None) -> DataFrame:
     """Each text beside its edited form and beside the next text in ascending ``key``.

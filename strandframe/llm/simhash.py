@@ -76,9 +76,9 @@ def _split(keyed: DataFrame, masks: list[int], parts: int) -> tuple[DataFrame, l
 def _joined(group: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Links between distinct fingerprints of one group: a star for each part that hangs together."""
     n = len(group)
-    part = np.arange(n)
+    part, plain = np.arange(n), group.view(np.uint64)  # unsigned: the bits of a negative number are not its own
     for i in range(n - 1):
-        close = np.flatnonzero(np.bitwise_count(group[i + 1:] ^ group[i]) <= distance) + i + 1
+        close = np.flatnonzero(np.bitwise_count(plain[i + 1:] ^ plain[i]) <= distance) + i + 1
         if len(close):
             labels = np.unique(part[np.append(close, i)])
             if len(labels) > 1:
