@@ -41,11 +41,17 @@ def _open(shared: dict) -> Tokenizer:
 def word_encoder(shared: dict):
     """Text to little-endian 32-bit ids for a tokenizer that drops white space."""
     tokenizer = _open(shared)
-    words, special, _ = word_patterns(shared)
-    memo = shared.setdefault("memo", {})
+    words, special, pieces = word_patterns(shared)
+    memo, model = shared.setdefault("memo", {}), tokenizer.model
+    letters = dict(enumerate(byte_letters()))
 
     def make(word: str) -> bytes:
-        return array("I", tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        if special and special.search(word):
+            return array("I", tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        if word.isascii() and word.isprintable():  # printable ASCII stands for itself
+            return array("I", [t.id for p in pieces.findall(word.lower()) for t in model.tokenize(p)]).tobytes()
+        plain = tokenizer.normalizer.normalize_str(word)
+        return array("I", [t.id for p in pieces.findall(plain) for t in model.tokenize(p.encode().decode("latin-1").translate(letters))]).tobytes()
 
     return lambda text: b"".join(looked_up(words.findall(text), memo, make))
 

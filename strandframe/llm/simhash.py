@@ -26,6 +26,7 @@ BITS = 64
 DISTANCE = 3
 SHINGLE = 3
 SEED = 42
+LEAST_BITS = 15  # with so many bits left a group has at most 32,768 members and is not split again
 LARGEST_GROUP = 2048  # fingerprints verified at once; larger groups are split by further blocks
 
 
@@ -67,10 +68,11 @@ def _blocks(mask: int, parts: int) -> list[int]:
 
 def _split(keyed: DataFrame, masks: list[int], parts: int) -> tuple[DataFrame, list[int]]:
     """Each row ``fp, mask`` once for every block that refines its mask; ``masks``: all present masks."""
-    finer = {m: _blocks(m, parts) for m in masks}
-    table = F.create_map(*[x for m in masks for x in (F.lit(signed(m)), F.array(*[F.lit(signed(f)) for f in finer[m]]))])
-    rows = keyed.select("fp", F.explode(F.element_at(table, F.col("mask"))).alias("mask"))
-    return (rows.withColumn("bits", F.col("fp").bitwiseAND(F.col("mask"))), sorted({f for fs in finer.values() for f in fs}))
+    finer = [(signed(m), signed(f)) for m in masks for f in _blocks(m, parts)]
+    # at most 4 rows for each of the 16 * 4 ** splits masks: 4,096 rows for the finest
+    table = F.broadcast(keyed.sparkSession.createDataFrame(finer, "mask long, finer long"))
+    rows = keyed.join(table, "mask").select("fp", F.col("finer").alias("mask"))
+    return rows.withColumn("bits", F.col("fp").bitwiseAND(F.col("mask"))), sorted({f for m in masks for f in _blocks(m, parts)})
 
 
 def _joined(group: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -135,7 +137,7 @@ def close_links(distinct: DataFrame, distance: int = DISTANCE, largest: int = LA
         sizes = rows.groupBy("mask", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         left = BITS - max(bin(m).count("1") for m in masks)
         keyed = written(rows.join(sizes, ["mask", "bits"]), "blocks")
-        splits = left > parts and not keyed.where(F.col("n") > largest).isEmpty()
+        splits = left > LEAST_BITS and not keyed.where(F.col("n") > largest).isEmpty()
         own = _links_within(keyed.where(F.col("n") <= largest) if splits else keyed, distance)
         links = own if links is None else links.unionByName(own)
         if not splits:

@@ -27,7 +27,7 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 # Fixed value: the contractions that the tokenizer files split off.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 
-MEMO_WORDS = 400_000  # words remembered by a worker; beyond that it starts afresh
+MEMO_WORDS = 700_000  # words remembered by a worker; beyond that it starts afresh
 MEMO_LENGTH = 64  # longer words are not remembered
 
 
