@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from strandframe.llm.shared import map_batches
-from strandframe.llm.token_counts import CONTRACTIONS, WHITE, byte_letters, looked_up, merged
+from strandframe.llm.token_counts import CONTRACTIONS, WHITE, byte_letters, merged, remembered
 
 PAIR_MEMO = 1_000_000  # pair tests remembered by a worker
 BASE = -1  # the rank of a single byte: it is there before any merge
@@ -162,17 +162,17 @@ def text_encoder(tables: dict, make_ids=None):
     ``make_ids`` encodes one chunk; by default the dynamic programme does, piece by piece.
     """
     special, chunks, pieces = byte_patterns(tables)
-    memo, split = tables.setdefault("memo_ids", {}), chunks.findall
+    split = chunks.findall
     if make_ids is None:
         make_ids = lambda chunk: [n for p in pieces.findall(chunk) for n in encode_bytes(p.encode(), tables)]
-    make = lambda chunk: array("I", make_ids(chunk)).tobytes()
+    of_chunk = remembered(tables, "memo_ids", lambda chunk: array("I", make_ids(chunk)).tobytes())
 
     def encode(text: str) -> bytes:
         if special is None or not special.search(text):
-            return b"".join(looked_up(split(text), memo, make))
+            return b"".join(map(of_chunk, split(text)))
         out = []
         for k, part in enumerate(special.split(text)):
-            out.append(array("I", [tables["special"][part]]).tobytes() if k % 2 else b"".join(looked_up(split(part), memo, make)))
+            out.append(array("I", [tables["special"][part]]).tobytes() if k % 2 else b"".join(map(of_chunk, split(part))))
         return b"".join(out)
 
     return encode

@@ -15,7 +15,7 @@ from pyspark.sql import SparkSession
 from tokenizers import Tokenizer
 
 from strandframe.llm.bpe import byte_patterns, text_encoder
-from strandframe.llm.token_counts import byte_letters, looked_up, word_patterns
+from strandframe.llm.token_counts import byte_letters, remembered, word_patterns
 
 
 @functools.lru_cache(maxsize=4)
@@ -42,7 +42,7 @@ def word_encoder(shared: dict):
     """Text to little-endian 32-bit ids for a tokenizer that drops white space."""
     tokenizer = _open(shared)
     words, special, pieces = word_patterns(shared)
-    memo, model = shared.setdefault("memo", {}), tokenizer.model
+    model = tokenizer.model
     letters = dict(enumerate(byte_letters()))
 
     def make(word: str) -> bytes:
@@ -53,7 +53,8 @@ def word_encoder(shared: dict):
         plain = tokenizer.normalizer.normalize_str(word)
         return array("I", [t.id for p in pieces.findall(plain) for t in model.tokenize(p.encode().decode("latin-1").translate(letters))]).tobytes()
 
-    return lambda text: b"".join(looked_up(words.findall(text), memo, make))
+    of_word = remembered(shared, "memo", make)
+    return lambda text: b"".join(map(of_word, words.findall(text)))
 
 
 def byte_encoder(shared: dict):

@@ -147,29 +147,35 @@ def word_ids(word: str, tables: dict, patterns) -> list[int]:
     return out
 
 
-def looked_up(words: list[str], memo: dict, make) -> list:
-    """``make(word)`` for each word, through a bounded memo."""
-    try:
-        return list(map(memo.__getitem__, words))
-    except KeyError:
-        pass
-    if len(memo) > MEMO_WORDS:
-        memo.clear()
-    long = {}
-    for w in set(words):
-        if w not in memo:
-            (memo if len(w) <= MEMO_LENGTH else long)[w] = make(w)
-    if long:
-        return [memo[w] if w in memo else long[w] for w in words]
-    return list(map(memo.__getitem__, words))
+class Memo(dict):
+    """Values of words met before; a bounded number is kept."""
+
+    make = None
+
+    def __missing__(self, word):
+        value = self.make(word)
+        if len(word) <= MEMO_LENGTH:
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+            self[word] = value
+        return value
+
+
+def remembered(tables: dict, name: str, make):
+    """``make`` of a word, through a memo that stays in the worker's ``tables`` from task to task."""
+    memo = tables.get(name)
+    if memo is None:
+        memo = tables[name] = Memo()
+    memo.make = make
+    return memo.__getitem__
 
 
 def id_encoder(tables: dict):
     """A function from text to its ids as little-endian 32-bit integers."""
     patterns = word_patterns(tables)
-    words, memo = patterns[0].findall, tables.setdefault("memo_ids", {})
-    make = lambda w: array("I", word_ids(w, tables, patterns)).tobytes()
-    return lambda text: b"".join(looked_up(words(text), memo, make))
+    words = patterns[0].findall
+    of_word = remembered(tables, "memo_ids", lambda w: array("I", word_ids(w, tables, patterns)).tobytes())
+    return lambda text: b"".join(map(of_word, words(text)))
 
 
 def count_column(spark: SparkSession, text: Column, path: str) -> Column:
@@ -180,10 +186,10 @@ def count_column(spark: SparkSession, text: Column, path: str) -> Column:
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tables = shared.value
         patterns = word_patterns(tables)
-        words, memo = patterns[0].findall, tables.setdefault("memo_counts", {})
-        make = lambda w: len(word_ids(w, tables, patterns))
+        words = patterns[0].findall
+        of_word = remembered(tables, "memo_counts", lambda w: len(word_ids(w, tables, patterns)))
         for texts in batches:
-            yield texts.map(lambda t: sum(looked_up(words(t), memo, make)) if t else 0)
+            yield texts.map(lambda t: sum(map(of_word, words(t))) if t else 0)
 
     return count(text)
 
