@@ -49,6 +49,6 @@ def let(value: Column, fn: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), lambda x: fn(x)), 1)
 
 
-def key_remainder(key: str, modulus: int):
+def key_remainder(key: str, modulus: int, column: str | None = None) -> Column:
     """crc32 of the key as text, modulo ``modulus``; a NULL key counts as -1, so it is in no class."""
-    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % modulus, F.lit(-1))
+    return F.coalesce(F.crc32(F.col(column or key).cast("string").cast("binary")) % modulus, F.lit(-1))

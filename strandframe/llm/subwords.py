@@ -49,7 +49,7 @@ class WordTable:
                     row.append(k)
             self.texts.append(np.array(row, np.int64))
         self.counts = np.array([len(x) for x in lists], np.int64)
-        self.flat = np.fromiter((b for x in lists for b in x), np.int64, int(self.counts.sum()))
+        self.flat = np.fromiter((b for x in lists for b in x), np.int32, int(self.counts.sum()))
         self.starts = np.concatenate([[0], np.cumsum(self.counts)[:-1]]).astype(np.int64) if lists else np.zeros(0, np.int64)
 
 

@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 from strandframe.llm.shared import key_remainder
 from strandframe.llm.subwords import WordScores, WordTable, segment_sums, words_of
 
-SIZES = (4, 5, 6)
+SIZES = (4, 5)
 BUCKETS = 1 << 17
 DIMENSION = 4
 PASSAGE = 4  # words
 # The model is fitted on a bounded sample of labelled rows: so many of either
 # label, in the order of a hash of the key, none above this many characters.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1200, 2400, 20_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 800, 1600, 20_000
 PASSES = 8
 PRIOR = 3.0  # documents of either kind that an n-gram is taken to have been seen in beforehand
 DECAY = 0.02
@@ -36,12 +36,19 @@ def training_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
                     modulus: int = 5) -> tuple[list[str], np.ndarray]:
     """Labelled texts outside the held-out fold (crc32 of the key modulo ``modulus`` = 0)."""
     known = labels.where(F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias("_label"))
-    rows = (docs.select(key, F.col(text).alias("_text")).where((key_remainder(key, modulus) > 0) & (F.length("_text") <= SAMPLE_CHARS))
-            .join(known, key).withColumn("_order", F.xxhash64(F.lit("toxicity"), F.col(key))))
-    got = []
+    # keys are chosen first: no text is moved for a row outside the sample
+    rows = (docs.select(F.col(key).alias("_key"), F.length(text).alias("_n")).where((key_remainder(key, modulus, "_key") > 0) & (F.col("_n") <= SAMPLE_CHARS))
+            .join(known.withColumnRenamed(key, "_key"), "_key").withColumn("_order", F.xxhash64(F.lit("toxicity"), F.col("_key"))))
+    chosen = []
     for value, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
-        got += [(r["_text"], value) for r in rows.where(F.col("_label") == value).orderBy("_order", "_text").limit(most).collect()]
-    return [t for t, _ in got], np.array([y for _, y in got], np.float32)
+        chosen += [(r["_key"], value) for r in rows.where(F.col("_label") == value).select("_key", "_order").distinct().orderBy("_order", "_key").limit(most).collect()]
+    if not chosen:
+        return [], np.zeros(0, np.float32)
+    kind = docs.schema[key].dataType.simpleString()
+    sample = docs.sparkSession.createDataFrame(chosen, f"_key {kind}, _label int")  # at most SAMPLE_TOXIC + SAMPLE_CLEAN rows
+    texts = (docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.length("_text") <= SAMPLE_CHARS)
+             .join(F.broadcast(sample), "_key").groupBy("_key", "_label").agg(F.min("_text").alias("_text")).orderBy("_key").collect())
+    return [r["_text"] for r in texts], np.array([r["_label"] for r in texts], np.float32)
 
 
 def train(texts: list[str], labels: np.ndarray, passes: int = PASSES, seed: int = 3) -> dict | None:
