@@ -38,19 +38,15 @@ def _is_star(edges: DataFrame) -> bool:
     return edges.groupBy("u").count().where("count > 1").isEmpty()
 
 
-def components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, component``: the smallest vertex id connected to each vertex.
 
     ``vertices`` has ``id``; ``edges`` has ``src, dst`` of the same type.
     """
     pairs = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     star = cut_lineage(pairs)
-    for _ in range(max_rounds):
+    while not _is_star(star):
         star = cut_lineage(_small_star(_large_star(star)))
-        if _is_star(star):
-            break
-    else:
-        raise RuntimeError("components did not settle")
     return vertices.select("id").distinct().join(
         star.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left"
     ).select("id", F.coalesce("component", "id").alias("component"))
