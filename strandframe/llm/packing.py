@@ -162,7 +162,7 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY, groups: int =
 def _place_large(runs: _Runs, large: list[tuple[int, int]], total: int, capacity: int, groups: int) -> Counter:
     """Fill the configurations with actual pieces; what is returned is to be placed by best fit.
 
-    Each configuration of several pieces leaves the place of its shortest one open:
+    Each configuration leaves the place of its shortest piece open:
     the actual pieces beside it are shorter than rounded, so best fit may put a
     longer piece there than the rounded one.
     """
@@ -201,10 +201,9 @@ def _place_large(runs: _Runs, large: list[tuple[int, int]], total: int, capacity
         column = np.bincount(contents, minlength=len(sizes))
         patterns.append((column, 1))
     for column, n in patterns:
-        if column.sum() > 1:
-            column = column.copy()
-            column[np.flatnonzero(column)[-1]] -= 1
-        while n:
+        column = column.copy()
+        column[np.flatnonzero(column)[-1]] -= 1
+        while n and column.any():
             need = [(i, int(c)) for i, c in enumerate(column) if c]
             # as many sequences as can be filled with the same actual lengths
             alike = min(n, *(members[i][0][1] // c for i, c in need))
