@@ -359,18 +359,18 @@ def choose_anchors(costs, k: int, count: int):
     return choose(costs)
 
 
-def overlap_scores(s1, s2, shift, match: int = 1, penalty: int = 5):
-    """Match and mismatch score of the overlap at a given shift, for long sequences."""
+def best_overlap_score(s1, s2, shifts, match: int = 1, penalty: int = 5):
+    """Best match and mismatch score over the given shifts of two long sequences."""
     @F.pandas_udf("long")
     def score(a: pd.Series, b: pd.Series, at: pd.Series) -> pd.Series:
         out = []
-        for x, y, d in zip(a, b, at):
-            u, v = _codes(x)[max(d, 0):], _codes(y)[max(-d, 0):]
-            n = min(len(u), len(v))
-            wrong = int(np.count_nonzero(u[:n] != v[:n]))
-            out.append((n - wrong) * match - wrong * penalty)
+        for x, y, places in zip(a, b, at):
+            u, v = _codes(x), _codes(y)
+            lengths = [(d, min(len(u) - max(d, 0), len(v) - max(-d, 0))) for d in map(int, places)]
+            wrong = [int(np.count_nonzero(u[max(d, 0):max(d, 0) + n] != v[max(-d, 0):max(-d, 0) + n])) for d, n in lengths]
+            out.append(max((n - w) * match - w * penalty for (_, n), w in zip(lengths, wrong)))
         return pd.Series(out, dtype="int64")
-    return score(s1, s2, shift)
+    return score(s1, s2, shifts)
 
 
 def shift_matches(s1, s2):

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from strandframe.functions import alignment as A
 from strandframe.functions import sequences as S
-from strandframe.session import broadcast_if_small
+from strandframe.session import cut_lineage
 
 WINDOW = 256
+START = "^"  # stands before the first base
+HOT_KMER = 4096  # occurrences of a k-mer that stay together on the probing side
 
 
 def _windows(reads: DataFrame, k: int, ids: list[str], seq_col: str) -> DataFrame:
@@ -62,33 +64,55 @@ def near_ends(indent: int, k: int, length: Column) -> Column:
     return (F.col("pos") < indent) | (F.col("pos") + k > length - indent)
 
 
-def shared_kmers(repertoires: DataFrame, k: int = 80, min_overlap: int = 300, indent: int | None = None,
-                 max_occurrences: Column | None = None) -> DataFrame:
-    """Sequence pairs of two repertoires with a common k-mer, and the shift it implies.
+def _matches(repertoires: DataFrame, k: int, min_overlap: int, indent: int | None, max_occurrences: Column | None) -> DataFrame:
+    """``rep_a, a_id, rep_b, b_id, shift`` of common k-mers; a shift may repeat.
 
-    ``repertoires`` holds ``rep_id, cluster_id, seq``.  A pair is reported once, with
-    ``rep_a < rep_b``, for every shift whose overlap is long enough.
-    ``max_occurrences`` is the operator's stop-word rule: a k-mer found more often
-    in the indexed repertoire is no evidence.  It may refer to ``size_a`` and
-    ``size_b``, the sequence counts of the two repertoires.
+    k-mers travel as two 8-byte hashes.  Where all of them count, only the first
+    k-mer of a run of equal bases is reported: it is the one whose bases before
+    differ, so a pair meets once per run and not once per base.  The occurrences of
+    a frequent k-mer are dealt to parts on the probing side and repeated in every part on
+    the indexed side.
     """
-    sizes = repertoires.groupBy("rep_id").agg(F.count("*").alias("_n"))
-    sized = repertoires.join(broadcast_if_small(sizes), "rep_id").withColumn("_len", F.length("seq"))
-    occ = kmer_table(sized, k, ["rep_id", "cluster_id", "_len", "_n"])
-    index = occ if indent is None else occ.where(near_ends(indent, k, F.col("_len")))
-    right = index.select("kmer", F.col("rep_id").alias("rep_b"), F.col("cluster_id").alias("b_id"),
-                         F.col("pos").alias("b_pos"), F.col("_len").alias("b_len"))
-    probe = occ.select("kmer", F.col("rep_id").alias("rep_a"), F.col("cluster_id").alias("a_id"),
-                       F.col("pos").alias("a_pos"), F.col("_len").alias("a_len"), F.col("_n").alias("size_a"))
-    counts = index.groupBy("kmer", F.col("rep_id").alias("rep_b"), F.col("_n").alias("size_b")).agg(
-        F.count("*").alias("occurrences"))
-    admitted = probe.join(counts, "kmer").where("rep_a < rep_b")
+    whole = indent is None and max_occurrences is None
+    marked = repertoires.select("rep_id", "cluster_id", F.length("seq").alias("_len"), F.concat(F.lit(START), "seq").alias("seq"))
+    kmer, keys = F.substring("kmer", 2, k), ["key", "check"]
+    occ = kmer_table(marked, k + 1, ["rep_id", "cluster_id", "_len"]).select(
+        "rep_id", "cluster_id", "_len", "pos", F.substring("kmer", 1, 1).alias("before"),
+        F.xxhash64(kmer).alias("key"), F.xxhash64(F.lit(1), kmer).alias("check"))
+    places = occ.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("rep_id").alias("_lo"), F.max("rep_id").alias("_hi"))
+    met = occ.join(places.where("_lo < _hi").select(*keys, F.ceil(F.col("_n") / HOT_KMER).cast("int").alias("parts")), keys)
+    index = met if indent is None else met.where(near_ends(indent, k, F.col("_len")))
+    if max_occurrences is not None:
+        sizes = repertoires.groupBy("rep_id").agg(F.count("*").alias("_size"))
+        counts = index.groupBy(*keys, F.col("rep_id").alias("rep_b")).agg(F.count("*").alias("occurrences"))
+        counts = counts.join(sizes.select(F.col("rep_id").alias("rep_b"), F.col("_size").alias("size_b")), "rep_b")
+    probe = met.select(*keys, F.pmod(F.xxhash64("cluster_id", "pos"), F.col("parts")).cast("int").alias("part"), F.col("rep_id").alias("rep_a"),
+                       F.col("cluster_id").alias("a_id"), F.col("pos").alias("a_pos"), F.col("_len").alias("a_len"), F.col("before").alias("a_before"))
+    right = index.select(*keys, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("rep_id").alias("rep_b"),
+                         F.col("cluster_id").alias("b_id"), F.col("pos").alias("b_pos"), F.col("_len").alias("b_len"), F.col("before").alias("b_before"))
+    hits = probe.join(right, [*keys, "part"]).where("rep_a < rep_b")
+    if whole:
+        hits = hits.where((F.col("a_before") != F.col("b_before")) | (F.col("a_before") == START))
     if max_occurrences is not None:
-        admitted = admitted.where(F.col("occurrences") <= max_occurrences)
-    hits = admitted.join(right, ["kmer", "rep_b"])
+        hits = hits.join(counts, [*keys, "rep_b"]).join(sizes.select(F.col("rep_id").alias("rep_a"), F.col("_size").alias("size_a")), "rep_a")
+        hits = hits.where(F.col("occurrences") <= max_occurrences)
     shift = F.col("a_pos") - F.col("b_pos")
     overlap = F.least(F.col("a_len") - F.greatest(shift, F.lit(0)), F.col("b_len") + F.least(shift, F.lit(0)))
-    return hits.where(overlap >= min_overlap).select("rep_a", "a_id", "rep_b", "b_id", shift.alias("shift")).distinct()
+    return hits.where(overlap >= min_overlap).select("rep_a", "a_id", "rep_b", "b_id", shift.alias("shift"))
+
+
+def shared_kmers(repertoires: DataFrame, k: int = 80, min_overlap: int = 300, indent: int | None = None,
+                 max_occurrences: Column | None = None) -> DataFrame:
+    """Sequence pairs of two repertoires with a common k-mer, and the shifts it implies.
+
+    ``repertoires`` holds ``rep_id, cluster_id, seq``.  A pair is reported with
+    ``rep_a < rep_b``, once for every shift whose overlap is long enough.  By default
+    every position is indexed and every k-mer counts, so the result does not depend on
+    the order of the repertoires.  ``indent`` indexes the ends of the second
+    repertoire only; ``max_occurrences`` is a stop-word rule over the indexed
+    repertoire, which may refer to ``size_a`` and ``size_b``, the sequence counts.
+    """
+    return _matches(repertoires, k, min_overlap, indent, max_occurrences).distinct()
 
 
 def stop_word_limit(floor: int = 100, ceiling: int = 2000) -> Column:
@@ -97,20 +121,27 @@ def stop_word_limit(floor: int = 100, ceiling: int = 2000) -> Column:
     return F.least(F.lit(ceiling), F.greatest(F.lit(floor), tenth))
 
 
-def scored_neighbours(repertoires: DataFrame, k: int = 80, min_overlap: int = 300, indent: int = 150,
-                      match: int = 1, penalty: int = 5) -> DataFrame:
-    """Related cluster pairs of different repertoires with their best overlap score."""
-    pairs = shared_kmers(repertoires, k, min_overlap, indent, stop_word_limit())
+def scored_neighbours(repertoires: DataFrame, k: int = 80, min_overlap: int = 300, match: int = 1, penalty: int = 5,
+                      indent: int | None = None, max_occurrences: Column | None = None) -> DataFrame:
+    """Related cluster pairs of different repertoires with their best overlap score.
+
+    The shifts of a pair are gathered first, so both sequences travel once per pair.
+    """
+    pair = ["rep_a", "a_id", "rep_b", "b_id"]
+    shifts = _matches(repertoires, k, min_overlap, indent, max_occurrences).groupBy(*pair).agg(F.collect_set("shift").alias("shifts"))
     left = repertoires.select(F.col("rep_id").alias("rep_a"), F.col("cluster_id").alias("a_id"), F.col("seq").alias("_sa"))
     right = repertoires.select(F.col("rep_id").alias("rep_b"), F.col("cluster_id").alias("b_id"), F.col("seq").alias("_sb"))
-    scored = (pairs.join(left, ["rep_a", "a_id"]).join(right, ["rep_b", "b_id"])
-              .select("rep_a", "a_id", "rep_b", "b_id",
-                      A.overlap_scores("_sa", "_sb", "shift", match, penalty).alias("score")))
-    return scored.where("score > 0").groupBy("rep_a", "a_id", "rep_b", "b_id").agg(F.max("score").alias("score"))
+    scored = (shifts.join(left, ["rep_a", "a_id"]).join(right, ["rep_b", "b_id"])
+              .select(*pair, A.best_overlap_score("_sa", "_sb", "shifts", match, penalty).alias("score")))
+    return scored.where("score > 0")
 
 
 def best_neighbours(scored: DataFrame) -> DataFrame:
-    """Both directions, best score per cluster and other repertoire, all ties kept."""
+    """Both directions, best score per cluster and other repertoire, all ties kept.
+
+    The scored pairs are checkpointed, since they are used from both sides.
+    """
+    scored = cut_lineage(scored)
     forward = scored.select(F.col("rep_a").alias("rep_id"), F.col("a_id").alias("cluster_id"),
                             F.col("rep_b").alias("other_rep"), F.col("b_id").alias("neighbour_id"), "score")
     backward = scored.select(F.col("rep_b").alias("rep_id"), F.col("b_id").alias("cluster_id"),

@@ -40,11 +40,10 @@ def src1(spark, d):
     return IN.read_fasta(spark, written(spark, OUT.fasta_lines(wrapped), "fasta"))
 
 
-@query("src3_two_line_fasta", f"WITH {NAMED_SQL} SELECT '>' || name AS name, substr(seq, 1, 60) AS seq FROM named")
+@query("src3_two_line_fasta", f"WITH {NAMED_SQL} SELECT '>' || name AS name, seq FROM named")
 def src3(spark, d):
-    """Of a wrapped record the two-line reader sees the first sequence line, by definition."""
-    wrapped = named(spark, d).select("name", OUT.wrapped("seq").alias("seq"))
-    return IN.read_fasta(spark, written(spark, OUT.fasta_lines(wrapped), "fasta"), keep_marker=True, multiline=False)
+    """Records of a name line and one sequence line; the marker stays in the name."""
+    return IN.read_fasta(spark, written(spark, OUT.fasta_lines(named(spark, d)), "fasta"), keep_marker=True, multiline=False)
 
 
 @query("src6_gzip_fasta", f"WITH {NAMED_SQL} SELECT name, seq FROM named")
@@ -99,7 +98,8 @@ def src11(spark, d):
     return spark.read.parquet(path)
 
 
-@query("src12_quality_offset", "SELECT 33 AS \"offset\"")
+@query("src12_quality_offset", f"WITH {FASTQ_SQL}, told AS (SELECT regexp_extract(quality, '[^;-J]') AS c FROM fq) "
+       "SELECT COALESCE(MIN(CASE WHEN ascii(c) < 59 THEN 33 ELSE 64 END), -1) AS \"offset\" FROM told WHERE c <> ''")
 def src12(spark, d):
     return IN.quality_offset(IN.read_fastq(spark, written(spark, OUT.fastq_lines(fastq(spark, d)), "fastq")))
 
@@ -232,9 +232,10 @@ def snk11_lines(spark, d):
     return OUT.histogram_lines(value_histogram(spark, d))
 
 
-@query("snk12_plot_bins", "SELECT bin, CAST(bin * 10.0 AS DOUBLE) AS low, CAST((bin + 1) * 10.0 AS DOUBLE) AS high, COUNT(*) AS n FROM (SELECT CAST(least(floor(value / 10.0), 49) AS BIGINT) AS bin FROM events WHERE value BETWEEN 0 AND 500) GROUP BY bin")
+@query("snk12_plot_bins", "WITH b AS (SELECT MIN(value) AS lo, (MAX(value) - MIN(value)) / 50 AS w FROM events), p AS (SELECT CAST(least(floor((value - lo) / w), 49) AS BIGINT) AS bin, lo, w "
+       "FROM events, b WHERE value IS NOT NULL) SELECT bin, lo + bin * w AS low, lo + (bin + 1) * w AS high, COUNT(*) AS n FROM p GROUP BY bin, lo, w")
 def snk12(spark, d):
-    return OUT.plot_bins(V.table(spark, d, "events"), "value", 50, 0.0, 500.0)
+    return OUT.plot_bins(V.table(spark, d, "events"), "value", 50)
 
 
 @query("snk13_fastq_to_fasta", f"WITH {FASTQ_SQL} SELECT '>' || name || chr(10) || seq AS value FROM fq")

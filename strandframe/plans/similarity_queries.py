@@ -59,6 +59,15 @@ def fn9(spark, d):
     return K.kmer_table(V.turn_reads(spark, d), 12, ["conv_id", "turn"]).withColumn("pos", F.col("pos").cast("long"))
 
 
+@query("flt10_end_kmers", f"WITH {V.READS_SQL}, {kmers_sql(36, ids='read_id, length(seq) AS len')}, ends AS (SELECT read_id, kmer FROM occ WHERE pos < 150 OR pos + 36 > len - 150) "
+       "SELECT read_id, COUNT(*) AS places, COUNT(DISTINCT kmer) AS kmers FROM ends GROUP BY read_id")
+def flt10(spark, d):
+    """k-mers within 150 bases of either end of a read."""
+    r = V.reads(spark, d).withColumn("len", F.length("seq"))
+    ends = K.kmer_table(r, 36, ["read_id", "len"]).where(K.near_ends(150, 36, F.col("len")))
+    return ends.groupBy("read_id").agg(F.count("*").alias("places"), F.count_distinct("kmer").alias("kmers"))
+
+
 @query("fn25_kmer_shifts", f"WITH {V.TURNS_SQL}, {kmers_sql(12, 'turns', 'conv_id, turn')} SELECT DISTINCT kmer, substr(kmer, 2) || 'A' AS shifted_left, "
        "'T' || substr(kmer, 1, 11) AS shifted_right, substr(kmer, 1, 11) AS start_part, substr(kmer, 2) AS end_part FROM occ")
 def fn25(spark, d):
@@ -84,12 +93,9 @@ def repertoires(spark, d):
 REPS_SQL = (V.READS_SQL + ", reps AS (SELECT CAST(substr(source, 4) AS INTEGER) AS rep_id, seq, MIN(read_id) AS cluster_id, COUNT(*) AS size "
             "FROM reads GROUP BY ALL)")
 SHARED_SQL = (
-    "sized AS (SELECT r.*, length(seq) AS len, COUNT(*) OVER (PARTITION BY rep_id) AS n FROM reps r), "
-    + kmers_sql(80, "sized", "rep_id, cluster_id, len, n") +
-    ", idx AS (SELECT * FROM (SELECT *, COUNT(*) OVER (PARTITION BY rep_id, kmer) AS occurrences FROM occ "
-    "WHERE pos < 150 OR pos + 80 > len - 150)), "
-    "shared AS (SELECT DISTINCT a.rep_id AS rep_a, a.cluster_id AS a_id, b.rep_id AS rep_b, b.cluster_id AS b_id, a.pos - b.pos AS shift "
-    "FROM occ a JOIN idx b ON a.kmer = b.kmer AND a.rep_id < b.rep_id AND b.occurrences <= least(2000, greatest(100, floor(least(a.n, b.n) * 0.1))) "
+    "sized AS (SELECT *, length(seq) AS len FROM reps), " + kmers_sql(80, "sized", "rep_id, cluster_id, len") +
+    ", shared AS (SELECT DISTINCT a.rep_id AS rep_a, a.cluster_id AS a_id, b.rep_id AS rep_b, b.cluster_id AS b_id, a.pos - b.pos AS shift "
+    "FROM occ a JOIN occ b ON a.kmer = b.kmer AND a.rep_id < b.rep_id "
     "WHERE least(a.len - greatest(a.pos - b.pos, 0), b.len + least(a.pos - b.pos, 0)) >= 300)")
 NEIGHBOURS_SQL = (
     SHARED_SQL + ", cut AS (SELECT s.*, CAST(least(a.len - greatest(shift, 0), b.len + least(shift, 0)) AS INTEGER) AS n, a.seq AS sa, b.seq AS sb FROM shared s "
@@ -103,7 +109,7 @@ BEST_SQL = ("both_ways AS (SELECT rep_a AS rep_id, a_id AS cluster_id, rep_b AS
 
 @query("jn6_shared_kmers", f"WITH {REPS_SQL}, {SHARED_SQL} SELECT rep_a, a_id, rep_b, b_id, shift FROM shared")
 def jn6(spark, d):
-    pairs = K.shared_kmers(repertoires(spark, d), 80, 300, 150, K.stop_word_limit())
+    pairs = K.shared_kmers(repertoires(spark, d))
     return pairs.withColumn("shift", F.col("shift").cast("long"))
 
 

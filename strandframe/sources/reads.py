@@ -74,13 +74,9 @@ def decoded_quality(quality, offset: int = 33) -> Column:
     return F.transform(F.filter(chars, lambda c: c != ""), lambda c: F.ascii(c) - offset)
 
 
-def quality_offset(fastq: DataFrame, first_reads: int = 10_000) -> DataFrame:
-    """``offset``: 33 or 64 by the first telling quality character, -1 when none tells.
-
-    The rule looks at the first reads of a file only.
-    """
-    telling = F.regexp_extract("quality", "[^;-J]", 0)
-    seen = fastq.where(F.col("ordinal") < first_reads).select("ordinal", telling.alias("c")).where("c <> ''")
+def quality_offset(fastq: DataFrame) -> DataFrame:
+    """``offset``: 33 or 64 by the first telling quality character, -1 when none tells."""
+    seen = fastq.select("ordinal", F.regexp_extract("quality", "[^;-J]", 0).alias("c")).where("c <> ''")
     return seen.agg(F.coalesce(F.min_by(F.when(F.ascii("c") < 59, 33).otherwise(64), "ordinal"), F.lit(-1)).alias("offset"))
 
 

@@ -120,10 +120,15 @@ def histogram_lines(hist: DataFrame) -> DataFrame:
     return hist.select(F.concat_ws(" ", F.col("value").cast("string"), F.col("n").cast("string")).alias("line"))
 
 
-def plot_bins(df: DataFrame, value: str, bins: int, low: float, high: float) -> DataFrame:
-    """``bin, low, high, n``: data of a histogram plot with equal bins."""
-    width = (high - low) / bins
-    place = F.least(F.floor((F.col(value) - low) / width), F.lit(bins - 1))
-    inside = df.where((F.col(value) >= low) & (F.col(value) <= high))
-    return inside.groupBy(place.alias("bin")).agg(F.count("*").alias("n")).select(
-        "bin", (low + F.col("bin") * width).alias("low"), (low + (F.col("bin") + 1) * width).alias("high"), "n")
+def plot_bins(df: DataFrame, value: str, bins: int, low: float | None = None, high: float | None = None) -> DataFrame:
+    """``bin, low, high, n``: data of a histogram plot with equal bins.
+
+    Bounds that are not given are those of the data, so that no value is left out.
+    """
+    given = lambda bound, found: (found if bound is None else F.max(F.lit(float(bound))))
+    span = df.agg(given(low, F.min(value)).cast("double").alias("_low"), given(high, F.max(value)).cast("double").alias("_high"))  # one row
+    span = span.withColumn("_width", (F.col("_high") - F.col("_low")) / bins)
+    inside = df.select(F.col(value).alias("_v")).join(F.broadcast(span)).where("_v BETWEEN _low AND _high")
+    place = F.when(F.col("_width") > 0, F.least(F.floor(F.try_divide(F.col("_v") - F.col("_low"), F.col("_width"))), F.lit(bins - 1))).otherwise(F.lit(0))
+    return inside.groupBy(place.cast("long").alias("bin"), "_low", "_width").agg(F.count("*").alias("n")).select(
+        "bin", (F.col("_low") + F.col("bin") * F.col("_width")).alias("low"), (F.col("_low") + (F.col("bin") + 1) * F.col("_width")).alias("high"), "n")

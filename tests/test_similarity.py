@@ -106,6 +106,36 @@ def test_shared_kmers_without_and_with_stop_words(spark):
     assert few == {(0, 1, 1, 2, -2)}  # ACGT occurs twice in repertoire 1
 
 
+def scores(spark, rows):
+    df = spark.createDataFrame(rows, "rep_id int, cluster_id long, seq string")
+    return {(r.a_id, r.b_id): r.score for r in K.scored_neighbours(df).collect()}
+
+
+def test_neighbours_do_not_depend_on_repertoire_order(spark):
+    rng = random.Random(5)
+    long = "".join(rng.choices("ACGT", k=1400))
+    inside = long[500:900]
+    assert scores(spark, [(0, 1, long), (1, 2, inside)]) == {(1, 2): 400}
+    assert scores(spark, [(1, 1, long), (0, 2, inside)]) == {(2, 1): 400}
+
+
+def test_every_copy_of_a_family_is_a_neighbour(spark, monkeypatch):
+    monkeypatch.setattr(K, "HOT_KMER", 16)  # occurrences are dealt to parts
+    rng = random.Random(6)
+    base = "".join(rng.choices("ACGT", k=400))
+    swap = str.maketrans("ACGT", "CGTA")
+    family = [(1, 100 + i, base[:3 * i] + base[3 * i].translate(swap) + base[3 * i + 1:]) for i in range(120)]
+    got = scores(spark, [(0, 1, base), *family])
+    assert got == {(1, i): 394 for _, i, _ in family}
+
+
+def test_repeats_give_the_best_of_several_shifts(spark):
+    rng = random.Random(7)
+    unit = "".join(rng.choices("ACGT", k=200))
+    a, b = unit * 3, unit * 2
+    assert scores(spark, [(0, 1, a), (1, 2, b)]) == {(1, 2): 400}
+
+
 def brute_overlaps(seqs, least):
     rc = lambda s: s.translate(str.maketrans("ACGT", "TGCA"))[::-1]
     out = {}
