@@ -70,10 +70,8 @@ def repeated_words(placed: Column) -> Column:
     return covered.cast("long")
 
 
-def features(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", extra: tuple[str, ...] = ()) -> DataFrame:
-    """Counts of every row; ``_classes`` and ``_common`` are histograms as arrays."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    language = F.coalesce(F.col(lang), F.lit("")) if lang in docs.columns else F.lit("")
+def described(text: Column, language: Column) -> Column:
+    """Struct of the counts of a text; ``_classes`` and ``_common`` are histograms as arrays."""
     lists = F.create_map(*[x for k, v in COMMON_WORDS.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in v]))])
     every = sorted({w for v in COMMON_WORDS.values() for w in v})
 
@@ -87,16 +85,28 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
             F.size(ws).cast("long").alias("n_words"), F.length(F.array_join(ws, "")).cast("long").alias("word_chars"),
             kept(own, r"#*$%&|<>").alias("n_symbols"), duplicate_lines(own).alias("n_dup_lines"),
             let(window_hashes(ws), lambda hs: let(by_hash(hs), repeated_words)).alias("n_repeat_words"),
-            kept(own, r"\p{Lu}").alias("_upper"), kept(own, r"\p{L}").alias("_letters"), kept(own, "0-9").alias("_digits"),
-            kept(own, r".,;:!?'\"()\-").alias("_marks"), common.alias("_common"))
+            kept(own, r"\p{Lu}").alias("upper"), kept(own, r"\p{L}").alias("letters"), kept(own, "0-9").alias("digits"),
+            kept(own, r".,;:!?'\"()\-").alias("marks"), common.alias("_common"))
 
-    counted = let(body, lambda own: let(words(own), lambda ws: counts(own, ws)))
-    three = docs.select(F.col(key).alias("_key"), language.alias("_lang"), *extra, counted.alias("_c")).select("_key", "_lang", *extra, "_c.*")
-    parts = [F.col("_letters") - F.col("_upper"), F.col("_upper"), F.col("_digits"), F.col("_marks"), F.col("n_symbols"),
-             F.col("word_chars") - F.col("_letters") - F.col("_digits") - F.col("_marks") - F.col("n_symbols")]
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return three.select("_key", "_lang", *extra, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                        F.array(*[F.greatest(p, F.lit(0)).cast("double") for p in parts]).alias("_classes"), "_common", failed.alias("base_failed"))
+    def completed(c: Column) -> Column:
+        parts = [c["letters"] - c["upper"], c["upper"], c["digits"], c["marks"], c["n_symbols"],
+                 c["word_chars"] - c["letters"] - c["digits"] - c["marks"] - c["n_symbols"]]
+        failed = (c["n_words"] < LEAST_WORDS) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
+        return F.struct(*[c[n].alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+                        F.array(*[F.greatest(p, F.lit(0)).cast("double") for p in parts]).alias("_classes"), c["_common"].alias("_common"),
+                        failed.alias("base_failed"))
+
+    return let(let(F.coalesce(text, F.lit("")), lambda own: let(words(own), lambda ws: counts(own, ws))), completed)
+
+
+def _language(docs: DataFrame, lang: str) -> Column:
+    return F.coalesce(F.col(lang).cast("string"), F.lit("")) if lang in docs.columns else F.lit("")
+
+
+def features(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """``_key, _lang`` and the fields of ``described`` of every row."""
+    counted = docs.select(F.col(key).alias("_key"), F.col(text).alias("_body"), _language(docs, lang).alias("_lang"))
+    return counted.select("_key", "_lang", described(F.col("_body"), F.col("_lang")).alias("_c")).select("_key", "_lang", "_c.*")
 
 
 def total(values: Column) -> Column:
@@ -118,29 +128,41 @@ def jensen_shannon(p: Column, q: Column) -> Column:
 
 
 def references(found: DataFrame) -> DataFrame:
-    """``_lang, _class_ref, _word_ref``: mean histograms of the documents of a language that pass the rules."""
-    good = found.where(~F.col("base_failed"))
-    classes = F.when(total(F.col("_classes")) > 0, shares(F.col("_classes")))
-    common = F.when(F.coalesce(total(F.col("_common")), F.lit(0.0)) >= LEAST_COMMON, shares(F.col("_common")))
+    """``_lang, _class_ref, _word_ref``: mean histograms of the documents of a language that pass the rules.
+
+    Failed documents count as NULL instead of being filtered out: a filter would be pushed into
+    the counts and compute them again.
+    """
+    good = ~F.col("base_failed")
+    classes = F.when(good & (total(F.col("_classes")) > 0), shares(F.col("_classes")))
+    common = F.when(good & (F.coalesce(total(F.col("_common")), F.lit(0.0)) >= LEAST_COMMON), shares(F.col("_common")))
     at_most = max(len(CLASSES), *(len(v) for v in COMMON_WORDS.values()))
-    apart = good.select("_lang", classes.alias("_p"), common.alias("_q"))
+    apart = found.select("_lang", classes.alias("_p"), common.alias("_q"))
     means = apart.groupBy("_lang").agg(*[F.avg(F.get(c, F.lit(i))).alias(f"{c}{i}") for c in ("_p", "_q") for i in range(at_most)])
     gather = lambda c, n: F.array(*[F.col(f"{c}{i}") for i in range(n)])
     word_ref = gather("_q", at_most)
     return means.select("_lang", gather("_p", len(CLASSES)).alias("_class_ref"), F.filter(word_ref, lambda x: x.isNotNull()).alias("_word_ref"))
 
 
+def distances(c, class_ref: Column, word_ref: Column) -> tuple[Column, Column]:
+    """Distances of the histograms of ``c`` (fields by name) from the references, NULL where not judged."""
+    by_class = F.when((c["n_words"] >= LEAST_WORDS) & (total(c["_classes"]) > 0) & F.get(class_ref, F.lit(0)).isNotNull(),
+                      jensen_shannon(shares(c["_classes"]), class_ref))
+    by_word = F.when((F.coalesce(total(c["_common"]), F.lit(0.0)) >= LEAST_COMMON) & (F.size(word_ref) == F.size(c["_common"])),
+                     jensen_shannon(shares(c["_common"]), word_ref))
+    return by_class, by_word
+
+
+def accepted(c, by_class: Column, by_word: Column) -> Column:
+    return ~c["base_failed"] & (F.coalesce(by_class, F.lit(0.0)) <= CLASS_LIMIT) & (F.coalesce(by_word, F.lit(0.0)) <= WORD_LIMIT)
+
+
 def judged(found: DataFrame, refs: DataFrame) -> DataFrame:
     """``found`` with ``class_distance``, ``word_distance`` (NULL where not judged) and ``kept``."""
     joined = found.join(refs, "_lang", "left")
-    class_distance = F.when((F.col("n_words") >= LEAST_WORDS) & (total(F.col("_classes")) > 0) & F.get("_class_ref", F.lit(0)).isNotNull(),
-                            jensen_shannon(shares(F.col("_classes")), F.col("_class_ref")))
-    word_distance = F.when((F.coalesce(total(F.col("_common")), F.lit(0.0)) >= LEAST_COMMON) & (F.size("_word_ref") == F.size("_common")),
-                           jensen_shannon(shares(F.col("_common")), F.col("_word_ref")))
-    out = joined.withColumns({"class_distance": class_distance, "word_distance": word_distance})
-    kept = (~F.col("base_failed") & (F.coalesce(F.col("class_distance"), F.lit(0.0)) <= CLASS_LIMIT)
-            & (F.coalesce(F.col("word_distance"), F.lit(0.0)) <= WORD_LIMIT))
-    return out.withColumn("kept", kept)
+    by_class, by_word = distances(joined, F.col("_class_ref"), F.col("_word_ref"))
+    out = joined.withColumns({"class_distance": by_class, "word_distance": by_word})
+    return out.withColumn("kept", accepted(out, F.col("class_distance"), F.col("word_distance")))
 
 
 def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -160,11 +182,13 @@ def passing(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     """The rows of ``docs`` that are kept, with all their columns.
 
     The references come from one pass over the counts (one row per language); the
-    second pass judges each row where it is.
+    second pass judges each row where it is.  The verdict is one expression, so the
+    filter computes the counts of a row once.
     """
-    names = list(docs.columns)
     refs = written(references(features(docs, key, text, lang)), "references")
-    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(key).alias("_id"), F.col(text).alias("_body"),
-                          (F.col(lang) if lang in names else F.lit(None).cast("string")).alias("_tongue"))
-    found = features(carried, "_id", "_body", "_tongue", ("_row",))
-    return judged(found, refs).where("kept").select("_row.*")
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_body"), _language(docs, lang).alias("_lang"))
+
+    def verdict(c: Column) -> Column:
+        return accepted(c, *distances(c, F.col("_class_ref"), F.col("_word_ref")))
+
+    return carried.join(refs, "_lang", "left").where(let(described(F.col("_body"), F.col("_lang")), verdict)).select("_row.*")
