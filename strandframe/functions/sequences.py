@@ -288,14 +288,14 @@ def file_basename(path) -> Column:
 def map_position_uniform(position, upper, lower) -> Column:
     """Scale a 0-based position between two lengths, symmetric around the middle."""
     p, a, b = _n(position), _n(upper), _n(lower)
-    scaled = lambda q: F.floor((2 * q + 1) * b / (2 * a)).cast("long")
+    scaled = lambda q: F.call_function("div", (2 * q + 1) * b, 2 * a)
     return F.when(p * 2 + 1 >= a, scaled(p)).otherwise(b - 1 - scaled(a - 1 - p))
 
 
 def map_position_keeping_ends(position, upper, lower) -> Column:
     """Scale a 0-based position between two lengths, rounding half up."""
     p, a, b = _n(position), _n(upper), _n(lower)
-    return F.when(b == 1, F.lit(0)).otherwise(F.floor((2 * p * b + a) / (2 * a)).cast("long"))
+    return F.when(b == 1, F.lit(0)).otherwise(F.call_function("div", 2 * p * b + a, 2 * a))
 
 
 def nearly_equal(a, b, tolerance: float = 1e-12) -> Column:

@@ -130,24 +130,24 @@ def clip_tips_once(edges: DataFrame, max_length: int, max_coverage: float | None
     return edges.join(gone, "edge_id", "left_anti")
 
 
-def _until_stable(edges: DataFrame, step, max_rounds: int) -> DataFrame:
+def _until_stable(edges: DataFrame, step) -> DataFrame:
+    """Repeat ``step``, which never adds edges, until it takes none away."""
     current = cut_lineage(edges)
     n = current.count()
-    for _ in range(max_rounds):
+    while True:
         nxt = cut_lineage(step(current))
         m = nxt.count()
         if m == n:
             return nxt
         current, n = nxt, m
-    raise RuntimeError("graph did not settle")
 
 
 def clip_tips(edges: DataFrame, max_length: int, max_coverage: float | None = None,
-              max_relative_coverage: float | None = None, max_rounds: int = 100) -> DataFrame:
+              max_relative_coverage: float | None = None) -> DataFrame:
     """Clip tips and merge paths until nothing changes."""
     def step(e: DataFrame) -> DataFrame:
         return compress_paths(clip_tips_once(e, max_length, max_coverage, max_relative_coverage)).select(*edges.columns)
-    return _until_stable(edges, step, max_rounds)
+    return _until_stable(edges, step)
 
 
 def alternative_paths(edges: DataFrame, candidates: DataFrame, max_delta: float, max_relative_delta: float) -> DataFrame:
@@ -230,12 +230,12 @@ def _projected_mass(accepted: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def remove_bulges(edges: DataFrame, max_length: int, max_coverage: float = 1000.0, max_relative_coverage: float = 1.2,
-                  max_delta: float = 3, max_relative_delta: float = 0.1, max_rounds: int = 100) -> DataFrame:
+                  max_delta: float = 3, max_relative_delta: float = 0.1) -> DataFrame:
     """Remove bulges and merge paths until nothing changes."""
     def step(e: DataFrame) -> DataFrame:
         return compress_paths(remove_bulges_once(e, max_length, max_coverage, max_relative_coverage, max_delta,
                                                  max_relative_delta)).select(*edges.columns)
-    return _until_stable(edges, step, max_rounds)
+    return _until_stable(edges, step)
 
 
 def shortest_distances(edges: DataFrame, sources: DataFrame, bound: int, backward: bool = False,
@@ -325,10 +325,10 @@ def component_filter(members: DataFrame, edges: DataFrame, max_vertices: int, mi
     return sizes.join(longest, "component")
 
 
-def supported_pairs(pairs: DataFrame, edges: DataFrame, share: float = 0.1) -> DataFrame:
-    """Pairs ``edge_a, edge_b, weight`` weighing at least a share of either edge's coverage."""
+def supported_pairs(pairs: DataFrame, edges: DataFrame, share: float = 0.1, least: float = float("inf")) -> DataFrame:
+    """Pairs ``edge_a, edge_b, weight`` weighing at least ``least``, or a share of either edge's coverage."""
     cov = edges.select("edge_id", "coverage")
     a = cov.select(F.col("edge_id").alias("edge_a"), F.col("coverage").alias("_ca"))
     b = cov.select(F.col("edge_id").alias("edge_b"), F.col("coverage").alias("_cb"))
     joined = pairs.join(a, "edge_a").join(b, "edge_b")
-    return joined.where((F.col("weight") >= share * F.col("_ca")) | (F.col("weight") >= share * F.col("_cb"))).select(*pairs.columns)
+    return joined.where((F.col("weight") >= least) | (F.col("weight") >= share * F.col("_ca")) | (F.col("weight") >= share * F.col("_cb"))).select(*pairs.columns)

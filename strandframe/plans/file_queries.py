@@ -218,7 +218,7 @@ def snk9(spark, d):
 
 
 @query("snk10_dot_lines", f"WITH {REPS_SQL}, {NEIGHBOURS_SQL} SELECT 0 AS place, 'digraph g {{' AS value UNION ALL SELECT 0, 'labeldistance=1' UNION ALL SELECT 3, '}}' UNION ALL "
-       "SELECT 1, '\"' || rep_id || '.' || cluster_id || '\" [label=\"' || cluster_id || '\\nsize ' || size || '\" fillcolor=' || ['skyblue', 'coral', 'lavender', 'mintcream', 'orange'][rep_id % 5 + 1] || ' style=filled]' FROM reps UNION ALL "
+       "SELECT 1, '\"' || rep_id || '.' || cluster_id || '\" [label=\"' || cluster_id || '\\nsize ' || size || '\" fillcolor=' || ['lightblue', 'palegreen', 'khaki', 'thistle', 'gold'][rep_id % 5 + 1] || ' style=filled]' FROM reps UNION ALL "
        "SELECT 2, '\"' || rep_a || '.' || a_id || '\" -> \"' || rep_b || '.' || b_id || '\" [label=0 style=bold color=red]' FROM neigh")
 def snk10(spark, d):
     reps = repertoires(spark, d)

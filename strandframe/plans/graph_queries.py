@@ -23,9 +23,9 @@ def de_bruijn(spark, d):
 
 
 DB_SQL = (V.TURNS_SQL + ", " + kmers_sql(K + 1, "turns", "conv_id") +
-          f", e AS (SELECT kmer AS edge_id, substr(kmer, 1, {K}) AS src, substr(kmer, 2) AS dst, CAST(1 AS BIGINT) AS length, CAST(COUNT(*) AS DOUBLE) AS coverage FROM occ GROUP BY kmer), "
-          "deg AS (SELECT v, CAST(SUM(i) AS BIGINT) AS n_in, CAST(SUM(o) AS BIGINT) AS n_out FROM (SELECT src AS v, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY v)")
-WD_SQL = DB_SQL + ", wd AS (SELECT e.*, a.n_in AS src_in, a.n_out AS src_out, b.n_in AS dst_in, b.n_out AS dst_out FROM e JOIN deg a ON a.v = src JOIN deg b ON b.v = dst)"
+          f", e AS MATERIALIZED (SELECT kmer AS edge_id, substr(kmer, 1, {K}) AS src, substr(kmer, 2) AS dst, CAST(1 AS BIGINT) AS length, CAST(COUNT(*) AS DOUBLE) AS coverage FROM occ GROUP BY kmer), "
+          "deg AS MATERIALIZED (SELECT v, CAST(SUM(i) AS BIGINT) AS n_in, CAST(SUM(o) AS BIGINT) AS n_out FROM (SELECT src AS v, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY v)")
+WD_SQL = DB_SQL + ", wd AS MATERIALIZED (SELECT e.*, a.n_in AS src_in, a.n_out AS src_out, b.n_in AS dst_in, b.n_out AS dst_out FROM e JOIN deg a ON a.v = src JOIN deg b ON b.v = dst)"
 
 
 @query("gr13_de_bruijn_edges", f"WITH {DB_SQL} SELECT edge_id, src, dst, length, coverage FROM e")
@@ -182,14 +182,14 @@ def flt7(spark, d):
 
 
 @query("flt8_supported_pairs", f"WITH {ITEMS_SQL}, p AS (SELECT a.edge_id AS edge_a, b.edge_id AS edge_b, CAST(a.length * b.length * 10 AS DOUBLE) AS weight, a.coverage AS ca, b.coverage AS cb FROM i a JOIN i b "
-       "ON a.src = b.src AND a.dst = b.dst AND a.edge_id < b.edge_id) SELECT edge_a, edge_b, weight FROM p WHERE weight >= 0.1 * ca OR weight >= 0.1 * cb")
+       "ON a.src = b.src AND a.dst = b.dst AND a.edge_id < b.edge_id) SELECT edge_a, edge_b, weight FROM p WHERE weight >= 2000 OR weight >= 0.1 * ca OR weight >= 0.1 * cb")
 def flt8(spark, d):
     e = items(spark, d)
     size = e.select("edge_id", "length")
     p = (G.parallel_edges(e).join(size.select(F.col("edge_id").alias("edge_a"), F.col("length").alias("la")), "edge_a")
          .join(size.select(F.col("edge_id").alias("edge_b"), F.col("length").alias("lb")), "edge_b")
          .select("edge_a", "edge_b", (F.col("la") * F.col("lb") * 10).cast("double").alias("weight")))
-    return G.supported_pairs(p, e)
+    return G.supported_pairs(p, e, least=2000.0)
 
 
 @query("agg25_coverage_histogram", f"WITH {DB_SQL} SELECT CAST(floor(coverage) AS BIGINT) AS value, COUNT(*) AS n FROM e GROUP BY 1")

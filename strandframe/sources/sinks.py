@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandframe.functions import sequences as S
 
-FILL_COLOURS = ("skyblue", "coral", "lavender", "mintcream", "orange")
+FILL_COLOURS = ("lightblue", "palegreen", "khaki", "thistle", "gold")
 
 
 def write_lines(df: DataFrame, path: str, column: str = "value", order: list[str] | None = None) -> None:

@@ -7,12 +7,11 @@ from strandframe.operators import graph as G
 
 COLUMNS = "edge_id long, src long, dst long, length long, conj_id long, coverage double"
 
-# Small fragments: edges with both strands.
-TIP = [(6163, 1114, 2485, 10266, 6164, 212.6), (6164, 2486, 1113, 10266, 6163, 212.6), (5664, 1113, 307, 8365, 5663, 219.8),
-       (5663, 308, 1114, 8365, 5664, 219.8), (3415, 1114, 3811, 4, 3416, 28.0), (3416, 3812, 1113, 4, 3415, 28.0)]
-BULGE = [(5659, 601, 211, 7461, 5660, 208.4), (5660, 212, 602, 7461, 5659, 208.4), (5662, 624, 215, 19783, 5661, 218.1),
-         (5661, 216, 623, 19783, 5662, 218.1), (1658, 215, 601, 56, 1657, 224.6), (1657, 602, 216, 56, 1658, 224.6),
-         (1868, 215, 601, 56, 1867, 2.07), (1867, 602, 216, 56, 1868, 2.07)]
+# Made-up fragments with both strands: the other strand of vertex v is v + 10.
+TIP = [(1, 10, 11, 900, 2, 50.0), (2, 21, 20, 900, 1, 50.0), (3, 11, 12, 700, 4, 60.0), (4, 22, 21, 700, 3, 60.0),
+       (5, 11, 13, 6, 6, 8.0), (6, 23, 21, 6, 5, 8.0)]
+BULGE = [(1, 10, 11, 500, 2, 40.0), (2, 21, 20, 500, 1, 40.0), (3, 12, 13, 800, 4, 44.0), (4, 23, 22, 800, 3, 44.0),
+         (5, 11, 12, 30, 6, 42.0), (6, 22, 21, 30, 5, 42.0), (7, 11, 12, 30, 8, 3.0), (8, 22, 21, 30, 7, 3.0)]
 
 
 def vertex_count(edges):
@@ -23,20 +22,20 @@ def test_single_tip(spark):
     edges = spark.createDataFrame(TIP, COLUMNS)
     left = G.clip_tips(edges, 250, 1000.0, 1.2)
     assert vertex_count(left) == 4
-    assert sorted(r.length for r in left.collect()) == [18631, 18631]
+    assert sorted(r.length for r in left.collect()) == [1600, 1600]
 
 
 def test_single_bulge(spark):
     edges = spark.createDataFrame(BULGE, COLUMNS)
     left = G.remove_bulges(edges, 220).collect()
     assert len({v for r in left for v in (r.src, r.dst)}) == 4
-    mass = (208.4 * 7461 + 218.1 * 19783 + 56 * (224.6 + 2.07)) / (7461 + 19783 + 56)
-    assert [r.length for r in left] == [27300, 27300]
+    mass = (40 * 500 + 44 * 800 + 30 * (42 + 3)) / (500 + 800 + 30)
+    assert [r.length for r in left] == [1330, 1330]
     assert all(r.coverage == pytest.approx(mass) for r in left)
 
 
 def test_bulge_of_another_length_stays(spark):
-    rows = [(e, s, d, 90 if e in (1868, 1867) else n, c, v) for e, s, d, n, c, v in BULGE]
+    rows = [(e, s, d, 60 if e in (7, 8) else n, c, v) for e, s, d, n, c, v in BULGE]
     assert G.remove_bulges(spark.createDataFrame(rows, COLUMNS), 220).count() == len(rows)
 
 
@@ -88,3 +87,10 @@ def test_rivals_exclude_the_edge_itself(spark):
     rows = [(1, 1, 2, 1, 5.0), (2, 1, 3, 1, 9.0), (3, 4, 2, 1, 7.0)]
     edges = spark.createDataFrame(rows, "edge_id long, src long, dst long, length long, coverage double")
     assert {r.edge_id: r.rival for r in G.competitor_coverage(edges).collect()} == {1: 9.0, 2: 5.0, 3: 5.0}
+
+
+def test_pairs_pass_by_weight_or_by_share(spark):
+    edges = spark.createDataFrame([(1, 100.0), (2, 900.0), (3, 800.0)], "edge_id long, coverage double")
+    pairs = spark.createDataFrame([(1, 2, 12.0), (2, 3, 50.0), (3, 2, 5.0)], "edge_a long, edge_b long, weight double")
+    assert {(r.edge_a, r.edge_b) for r in G.supported_pairs(pairs, edges).collect()} == {(1, 2)}
+    assert {(r.edge_a, r.edge_b) for r in G.supported_pairs(pairs, edges, least=40.0).collect()} == {(1, 2), (2, 3)}
