@@ -204,16 +204,18 @@ GRAPH_DIST_SQL = "gd AS (SELECT DISTINCT event_type, CAST(round(value / 7) * 7 A
 
 
 @query("gr19_estimated_distances", f"WITH pts AS (SELECT event_type, round(value) AS d, CAST(COUNT(*) AS DOUBLE) AS weight FROM events GROUP BY ALL), {GRAPH_DIST_SQL}, "
-       "pr AS (SELECT p.event_type, d, weight, length, abs(d - length) AS gap, MIN(abs(d - length)) OVER (PARTITION BY p.event_type, d) AS best FROM pts p JOIN gd ON p.event_type = gd.event_type), "
+       "bd AS (SELECT event_type, MIN(d) AS lo, MAX(d) AS hi FROM pts GROUP BY ALL), "
+       "pr AS (SELECT p.event_type, d, weight, length, abs(d - length) AS gap, MIN(abs(d - length)) OVER (PARTITION BY p.event_type, d) AS best FROM pts p JOIN gd ON p.event_type = gd.event_type JOIN bd ON bd.event_type = p.event_type WHERE 2 * d + lo >= hi), "
        "nn AS (SELECT *, COUNT(*) OVER (PARTITION BY event_type, d) AS ties FROM pr WHERE gap = best), "
-       "gv AS (SELECT event_type, length, SUM(weight / ties) FILTER (gap <= 3) AS weight FROM nn GROUP BY ALL), "
-       "bd AS (SELECT event_type, MIN(d) AS lo, MAX(d) AS hi FROM pts GROUP BY ALL) "
+       "gv AS (SELECT event_type, length, SUM(weight / ties) FILTER (gap <= 3) AS weight FROM nn GROUP BY ALL) "
        "SELECT gd.event_type, gd.length, COALESCE(gv.weight, 0) AS weight FROM gd JOIN bd ON gd.event_type = bd.event_type AND length BETWEEN lo - 3 AND hi + 3 LEFT JOIN gv ON gv.event_type = gd.event_type AND gv.length = gd.length")
 def gr19(spark, d):
     e = V.table(spark, d, "events")
     pts = e.groupBy("event_type", F.round("value").alias("d")).agg(F.count("*").cast("double").alias("weight"))
     graph = e.select("event_type", (F.round(F.col("value") / 7) * 7).cast("long").alias("length")).distinct()
-    return H.estimate_distances(pts, graph, ["event_type"], 3)
+    # the longest and the shortest distance of a type stand for the lengths of its two edges
+    ends = pts.groupBy("event_type").agg(F.max("d").alias("first_length"), F.min("d").alias("second_length"))
+    return H.estimate_distances(pts.join(ends, "event_type"), graph, ["event_type"], 3, ("first_length", "second_length"))
 
 
 @query("gr20_weighted_distances", f"WITH pts AS (SELECT event_type, round(value) AS d, SUM(1.0 / (1 + user_id)) AS weight FROM events GROUP BY ALL), {GRAPH_DIST_SQL}, "
