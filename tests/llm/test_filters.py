@@ -126,6 +126,22 @@ def test_quality_keeps_prose_and_drops_symbols(spark):
     assert quality.passing(docs).columns == docs.columns
 
 
+def test_quality_drops_lists_without_common_words(spark):
+    """Texts with hardly a common word are judged by words too, however long they are; prose stays."""
+    rng = random.Random(11)
+    common = quality.COMMON_WORDS["en"]
+    word = lambda: "".join(rng.choice("aehnordtu") for _ in range(rng.randint(4, 7)))
+    prose = [" ".join(rng.choice(common) if rng.random() < 0.2 else word() for _ in range(n)) for n in [120, 200, 400, 800] * 25]
+    lists = [" | ".join(word() for _ in range(n)) for n in [60, 200, 1500]]
+    lists.append(" | ".join([*common, *(word() for _ in range(1000))]))  # 11 common words, each once
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(prose + lists)], "doc_id long, text string, lang string")
+    judged = {r["doc_id"]: r for r in quality.quality_rules(docs).collect()}
+    assert not any(r["base_failed"] or r["word_distance"] is None for r in judged.values())
+    assert not any(judged[i]["kept"] for i in range(100, 104))
+    assert sum(judged[i]["kept"] for i in range(100)) >= 97
+    assert {r["doc_id"] for r in quality.passing(docs).collect()} == {i for i, r in judged.items() if r["kept"]}
+
+
 def plain_simhash(text, shingle=3):
     words = re.findall("[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text))
     if not words:
