@@ -291,3 +291,44 @@ def test_languages(spark, documents, nothing):
     assert langid.languages(documents).count() == documents.count()
     assert langid.languages(nothing).count() == 0
     assert {r["lang_pred"] for r in langid.languages(docs.withColumn("lang", quality.F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def near_copies(seed):
+    """Texts with copies in which a word or a run of words is changed, and families below the limit."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows = []
+    for _ in range(40):
+        base = [word() for _ in range(rng.randint(60, 300))]
+        rows.append(" ".join(base))
+        for _ in range(rng.randint(1, 4)):
+            changed = list(base)
+            for at in rng.sample(range(len(base)), max(1, len(base) // rng.choice([30, 45, 60, 90]))):
+                changed[at] = word()
+            rows.append(" ".join(changed))
+    rng.shuffle(rows)
+    return rows
+
+
+def test_no_two_kept_texts_share_four_fifths(spark):
+    import corpus_pipeline
+
+    texts = near_copies(12)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = {(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert len(near) > 30
+    assert not [p for p in near if p[0] in kept and p[1] in kept]
+    assert {i for i in range(len(texts)) if i not in kept} <= {i for i, _ in near}
+
+
+def test_texts_under_one_key_are_told_apart(spark, documents, nothing):
+    from strandframe.llm import resemblance
+
+    rows = [(1, "a b c d e f"), (1, "p q r s t u"), (2, "p q r s t u"), (2, None), (3, ""), (4, "a b c d e f"), (1, "a b c d e f"), (None, "x"), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, resemblance.one_of_similar(docs).collect()), key=str) == sorted(
+        [(1, "a b c d e f"), (1, "p q r s t u"), (2, None), (None, "x"), (None, "x")], key=str)
+    assert resemblance.one_of_similar(documents).columns == documents.columns
+    assert resemblance.one_of_similar(nothing).count() == 0
