@@ -88,13 +88,32 @@ def seeded_pairs(a: DataFrame, b: DataFrame, tau: int) -> DataFrame:
     """``a_id, b_id``: every pair that can be within ``tau`` edits, found without anchors.
 
     The shorter read offers its blocks at its own level and the longer one
-    answers with displaced windows, so both directions are tried.
+    answers with displaced windows, so both directions are tried.  Reads of at most
+    ``2 * tau`` bases have no block that must stay intact and are paired by ``short_pairs``.
     """
     def probe(short: DataFrame, long: DataFrame, names: tuple[str, str]) -> DataFrame:
         s = _seed_rows(short, tau, probing=False).withColumnRenamed("seq_id", names[0])
         t = _seed_rows(long, tau, probing=True).withColumnRenamed("seq_id", names[1])
         return s.join(t, ["lv", "block", "seed"]).select(*names).distinct()
-    return probe(a, b, ("a_id", "b_id")).unionByName(probe(b, a, ("b_id", "a_id"))).distinct()
+    seeded = probe(a, b, ("a_id", "b_id")).unionByName(probe(b, a, ("b_id", "a_id")))
+    if tau == 0:  # only the empty read has no block; the SQL of the exact hits leaves it out
+        return seeded.distinct()
+    few = short_pairs(a, b, tau, ("a_id", "b_id")).unionByName(short_pairs(b, a, tau, ("b_id", "a_id")))
+    return seeded.unionByName(few).distinct()
+
+
+def short_pairs(short: DataFrame, long: DataFrame, tau: int, names: tuple[str, str]) -> DataFrame:
+    """Pairs of a read of at most ``2 * tau`` bases with any read of the other side, by their ids.
+
+    A score looks at no base of the longer read beyond the length of the shorter one and
+    ``tau``, so reads meet by their starts: distinct short reads are scored against distinct
+    starts of ``3 * tau`` bases.
+    """
+    few = short.where(F.length("seq") <= 2 * tau).select(F.col("seq_id").alias(names[0]), F.col("seq").alias("_s"))
+    starts = long.select(F.col("seq_id").alias(names[1]), F.substring("seq", 1, 3 * tau).alias("_t"))
+    met = few.select("_s").distinct().crossJoin(starts.select("_t").distinct())
+    close = met.where(A.bounded_score("_s", "_t", tau).isNotNull())
+    return close.join(few, "_s").join(starts, "_t").select(*names)
 
 
 def _both_ways(a: DataFrame, b: DataFrame, k: int, tau: int, strategy: str) -> DataFrame:
@@ -117,8 +136,8 @@ def score_pairs(pairs: DataFrame, a: DataFrame, b: DataFrame, tau: int) -> DataF
 def best_hits(a: DataFrame, b: DataFrame, k: int = 36, tau: int = 3, strategy: str = "triple") -> DataFrame:
     """``side, q_id, hit_id, score``: best hits of every sequence on the other side, ties kept.
 
-    ``naive`` uses position-bound seeds instead of anchors and needs reads of more
-    than ``2 * tau`` bases; the anchored strategies need ``minimum_read_length``.
+    ``naive`` uses position-bound seeds instead of anchors and takes reads of any
+    length; the anchored strategies need ``minimum_read_length``.
     """
     pairs = seeded_pairs(a, b, tau) if strategy == "naive" else _both_ways(a, b, k, tau, strategy)
     scored = score_pairs(pairs, a, b, tau)

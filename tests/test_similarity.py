@@ -89,6 +89,16 @@ def test_naive_covers_every_read_above_twice_tau(spark):
     assert got == brute_best(a, b, 2)
 
 
+def test_naive_covers_reads_up_to_twice_tau(spark):
+    rng = random.Random(15)
+    a = [(i, s) for i, s in enumerate(sorted({rand(rng.randrange(0, 12), rng, "AC") for _ in range(60)} | {"", "GTG"}))]
+    b = [(1000 + i, s) for i, s in enumerate(sorted({rand(rng.randrange(0, 12), rng, "AC") for _ in range(60)} | {"GTG"}))]
+    df = lambda rows: spark.createDataFrame(rows, "seq_id long, seq string")
+    for tau in (2, 3):
+        got = {tuple(r) for r in M.best_hits(df(a), df(b), tau=tau, strategy="naive").select("side", "q_id", "hit_id", "score").collect()}
+        assert got == brute_best(a, b, tau), tau
+
+
 def test_kmers_of_short_reads_and_window_borders(spark):
     rng = random.Random(13)
     rows = [(0, "ACG"), (1, ""), (2, rand(700, rng)), (3, rand(K.WINDOW + 3, rng)), (4, "ACGTA")]
