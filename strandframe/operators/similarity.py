@@ -122,6 +122,12 @@ def _both_ways(a: DataFrame, b: DataFrame, k: int, tau: int, strategy: str) -> D
     return ab.unionByName(ba).distinct()
 
 
+def unanchored_pairs(a: DataFrame, b: DataFrame, k: int, tau: int, strategy: str) -> DataFrame:
+    """``a_id, b_id``: pairs with a read too short for the anchors of ``strategy``, by seeds."""
+    short = F.length("seq") < minimum_read_length(k, tau, strategy)
+    return seeded_pairs(a.where(short), b, tau).unionByName(seeded_pairs(a, b.where(short), tau)).distinct()
+
+
 def score_pairs(pairs: DataFrame, a: DataFrame, b: DataFrame, tau: int) -> DataFrame:
     """``a_id, b_id, score`` of the pairs within ``tau`` edits."""
     left = a.select(F.col("seq_id").alias("a_id"), F.col("seq").alias("_sa"))
@@ -133,13 +139,20 @@ def score_pairs(pairs: DataFrame, a: DataFrame, b: DataFrame, tau: int) -> DataF
     return joined.select("a_id", "b_id", A.bounded_score("_sa", "_sb", tau).alias("score")).where("score IS NOT NULL")
 
 
-def best_hits(a: DataFrame, b: DataFrame, k: int = 36, tau: int = 3, strategy: str = "triple") -> DataFrame:
+def best_hits(a: DataFrame, b: DataFrame, k: int = 36, tau: int = 3, strategy: str = "triple",
+              short_reads: bool = True) -> DataFrame:
     """``side, q_id, hit_id, score``: best hits of every sequence on the other side, ties kept.
 
-    ``naive`` uses position-bound seeds instead of anchors and takes reads of any
-    length; the anchored strategies need ``minimum_read_length``.
+    ``naive`` uses position-bound seeds instead of anchors.  The anchored strategies
+    use them for reads below ``minimum_read_length``; without ``short_reads`` such
+    reads choose no anchors and are found from longer ones at best.
     """
-    pairs = seeded_pairs(a, b, tau) if strategy == "naive" else _both_ways(a, b, k, tau, strategy)
+    if strategy == "naive":
+        pairs = seeded_pairs(a, b, tau)
+    else:
+        pairs = _both_ways(a, b, k, tau, strategy)
+        if short_reads:
+            pairs = pairs.unionByName(unanchored_pairs(a, b, k, tau, strategy)).distinct()
     scored = score_pairs(pairs, a, b, tau)
     sides = scored.select(F.lit("a").alias("side"), F.col("a_id").alias("q_id"), F.col("b_id").alias("hit_id"), "score")
     sides = sides.unionByName(scored.select(F.lit("b").alias("side"), F.col("b_id").alias("q_id"),

@@ -99,6 +99,16 @@ def test_naive_covers_reads_up_to_twice_tau(spark):
         assert got == brute_best(a, b, tau), tau
 
 
+def test_anchored_strategies_find_hits_of_short_reads(spark):
+    rng = random.Random(16)
+    a, b = ([(start + i, s[:rng.choice([5, 20, 39, 80])]) for i, s in family(rng, 25, 80, start)] for start in (0, 1000))
+    a, b = ([(i, s) for s, i in {s: i for i, s in rows}.items()] for rows in (a, b))
+    df = lambda rows: spark.createDataFrame(rows, "seq_id long, seq string")
+    for strategy in ("single", "triple"):
+        got = {tuple(r) for r in M.best_hits(df(a), df(b), k=8, tau=3, strategy=strategy).select("side", "q_id", "hit_id", "score").collect()}
+        assert got == brute_best(a, b, 3), strategy
+
+
 def test_kmers_of_short_reads_and_window_borders(spark):
     rng = random.Random(13)
     rows = [(0, "ACG"), (1, ""), (2, rand(700, rng)), (3, rand(K.WINDOW + 3, rng)), (4, "ACGTA")]
