@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from strandframe.llm.shared import map_batches
-from strandframe.llm.token_counts import CONTRACTIONS, WHITE, byte_letters, merged, remembered
+from strandframe.llm.token_counts import CONTRACTIONS, WHITE, byte_letters, merged, remembered, sendable
 
 PAIR_MEMO = 1_000_000  # pair tests remembered by a worker
 BASE = -1  # the rank of a single byte: it is there before any merge
@@ -189,7 +189,7 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     NULL and empty texts have no ids and decode to the empty text.  Each row
     stands for itself; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(byte_tables(path))
+    shared = docs.sparkSession.sparkContext.broadcast(sendable(byte_tables(path)))
 
     def run(batches):
         encode, tables = text_encoder(shared.value), shared.value
@@ -203,7 +203,7 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
 
 def encoding_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_tokens, ids_sha256, decoded_sha256`` of ``encode_decode``, hashed where they are made."""
-    shared = docs.sparkSession.sparkContext.broadcast(byte_tables(path))
+    shared = docs.sparkSession.sparkContext.broadcast(sendable(byte_tables(path)))
 
     def run(batches):
         tables = shared.value

@@ -161,6 +161,11 @@ class Memo(dict):
         return value
 
 
+def sendable(tables: dict) -> dict:
+    """The tables without the memos of their process: what a broadcast may hold."""
+    return {k: v for k, v in tables.items() if not k.startswith("memo")}
+
+
 def remembered(tables: dict, name: str, make):
     """``make`` of a word, through a memo that stays in the worker's ``tables`` from task to task."""
     memo = tables.get(name)
@@ -180,7 +185,7 @@ def id_encoder(tables: dict):
 
 def count_column(spark: SparkSession, text: Column, path: str) -> Column:
     """Number of tokens of ``text``; 0 for NULL and for empty text."""
-    shared = spark.sparkContext.broadcast(word_tables(path))
+    shared = spark.sparkContext.broadcast(sendable(word_tables(path)))
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
