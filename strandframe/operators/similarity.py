@@ -17,6 +17,7 @@ from strandframe.functions import alignment as A
 from strandframe.functions import sequences as S
 from strandframe.operators.kmers import keep_best, kmer_table
 from strandframe.operators.reads import minimum_read_length
+from strandframe.session import cut_lineage
 
 SEEDS = {"single": 1, "pair": 2, "triple": 3}
 
@@ -139,21 +140,23 @@ def score_pairs(pairs: DataFrame, a: DataFrame, b: DataFrame, tau: int) -> DataF
     return joined.select("a_id", "b_id", A.bounded_score("_sa", "_sb", tau).alias("score")).where("score IS NOT NULL")
 
 
-def best_hits(a: DataFrame, b: DataFrame, k: int = 36, tau: int = 3, strategy: str = "triple",
-              short_reads: bool = True) -> DataFrame:
-    """``side, q_id, hit_id, score``: best hits of every sequence on the other side, ties kept.
+def candidates(a: DataFrame, b: DataFrame, k: int, tau: int, strategy: str) -> DataFrame:
+    """``a_id, b_id``: a superset of the pairs within ``tau`` edits.
 
-    ``naive`` uses position-bound seeds instead of anchors.  The anchored strategies
-    use them for reads below ``minimum_read_length``; without ``short_reads`` such
-    reads choose no anchors and are found from longer ones at best.
+    ``naive`` uses position-bound seeds instead of anchors; the anchored strategies
+    use them for reads below ``minimum_read_length``.
     """
     if strategy == "naive":
-        pairs = seeded_pairs(a, b, tau)
-    else:
-        pairs = _both_ways(a, b, k, tau, strategy)
-        if short_reads:
-            pairs = pairs.unionByName(unanchored_pairs(a, b, k, tau, strategy)).distinct()
-    scored = score_pairs(pairs, a, b, tau)
+        return seeded_pairs(a, b, tau)
+    return _both_ways(a, b, k, tau, strategy).unionByName(unanchored_pairs(a, b, k, tau, strategy)).distinct()
+
+
+def best_hits(a: DataFrame, b: DataFrame, k: int = 36, tau: int = 3, strategy: str = "triple") -> DataFrame:
+    """``side, q_id, hit_id, score``: best hits of every sequence on the other side, ties kept.
+
+    The scored pairs are used four times and therefore written once.
+    """
+    scored = cut_lineage(score_pairs(candidates(a, b, k, tau, strategy), a, b, tau))
     sides = scored.select(F.lit("a").alias("side"), F.col("a_id").alias("q_id"), F.col("b_id").alias("hit_id"), "score")
     sides = sides.unionByName(scored.select(F.lit("b").alias("side"), F.col("b_id").alias("q_id"),
                                             F.col("a_id").alias("hit_id"), "score"))

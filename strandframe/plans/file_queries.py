@@ -121,7 +121,7 @@ def src15(spark, d):
     return TAB.read_cluster_fasta(spark, written(spark, OUT.cluster_fasta_lines(source_clusters(spark, d)), "clusters"))
 
 
-@query("src16_match_file", f"WITH {SIDES_SQL}, {HITS0_SQL.format(108)}, o AS (SELECT seq_id, row_number() OVER (ORDER BY seq_id) - 1 AS query FROM a) "
+@query("src16_match_file", f"WITH {SIDES_SQL}, {HITS0_SQL}, o AS (SELECT seq_id, row_number() OVER (ORDER BY seq_id) - 1 AS query FROM a) "
        "SELECT query, hit_id AS hit, CAST(0 AS BIGINT) AS score FROM best JOIN o ON q_id = seq_id WHERE side = 'a'")
 def src16(spark, d):
     a, b = sides(spark, d)

@@ -137,16 +137,15 @@ def sides(spark, d):
 SIDES_SQL = (V.READS_SQL + ", a AS (SELECT MIN(read_id) AS seq_id, seq FROM reads WHERE source < 'src15' GROUP BY seq), "
              "b AS (SELECT MIN(read_id) AS seq_id, seq FROM reads WHERE source >= 'src15' GROUP BY seq)")
 HITS0_SQL = ("hits AS (SELECT a.seq_id AS a_id, b.seq_id AS b_id FROM a JOIN b ON (starts_with(a.seq, b.seq) OR starts_with(b.seq, a.seq)) "
-             "WHERE least(length(a.seq), length(b.seq)) >= {0}), "
+             "WHERE a.seq <> '' AND b.seq <> ''), "
              "best AS (SELECT 'a' AS side, a_id AS q_id, b_id AS hit_id, CAST(0 AS BIGINT) AS score FROM hits UNION ALL SELECT 'b', b_id, a_id, 0 FROM hits)")
 
-for _strategy, _min in (("naive", 1), ("single", 36), ("pair", 72), ("triple", 108)):
-    _n = {"naive": "jn1", "single": "jn2", "pair": "jn3", "triple": "jn4"}[_strategy]
+for _n, _strategy in (("jn1", "naive"), ("jn2", "single"), ("jn3", "pair"), ("jn4", "triple")):
 
-    @query(f"{_n}_{_strategy}_exact_hits", f"WITH {SIDES_SQL}, {HITS0_SQL.format(_min)} SELECT * FROM best")
+    @query(f"{_n}_{_strategy}_exact_hits", f"WITH {SIDES_SQL}, {HITS0_SQL} SELECT * FROM best")
     def exact_hits(spark, d, strategy=_strategy):
-        """No edits allowed: one read must start the other.  The SQL leaves out reads below the minimum of the strategy."""
-        return M.best_hits(*sides(spark, d), k=36, tau=0, strategy=strategy, short_reads=False)
+        """No edits allowed: one read must start the other.  An empty read, which starts all, has no hits."""
+        return M.best_hits(*sides(spark, d), k=36, tau=0, strategy=strategy)
 
     @query(f"{_n}_{_strategy}_best_hits")
     def near_hits(spark, d, strategy=_strategy):
@@ -154,13 +153,13 @@ for _strategy, _min in (("naive", 1), ("single", 36), ("pair", 72), ("triple", 1
         return M.best_hits(*sides(spark, d), k=36, tau=3, strategy=strategy)
 
 
-@query("jn5_candidate_union", f"WITH {SIDES_SQL}, {HITS0_SQL.format(108)} SELECT a_id, b_id FROM hits")
+@query("jn5_candidate_union", f"WITH {SIDES_SQL}, {HITS0_SQL} SELECT a_id, b_id FROM hits")
 def jn5(spark, d):
     a, b = sides(spark, d)
-    return M.score_pairs(M._both_ways(a, b, 36, 0, "triple"), a, b, 0).select("a_id", "b_id")
+    return M.score_pairs(M.candidates(a, b, 36, 0, "triple"), a, b, 0).select("a_id", "b_id")
 
 
-@query("snk5_best_hit_lines", f"WITH {SIDES_SQL}, {HITS0_SQL.format(108)}, lists AS (SELECT q_id, '0 ' || string_agg(CAST(hit_id AS VARCHAR), ' ' ORDER BY hit_id) AS line "
+@query("snk5_best_hit_lines", f"WITH {SIDES_SQL}, {HITS0_SQL}, lists AS (SELECT q_id, '0 ' || string_agg(CAST(hit_id AS VARCHAR), ' ' ORDER BY hit_id) AS line "
        "FROM best WHERE side = 'a' GROUP BY q_id) SELECT a.seq_id AS q_id, COALESCE(line, '') AS line FROM a LEFT JOIN lists ON q_id = a.seq_id")
 def snk5(spark, d):
     a, b = sides(spark, d)
