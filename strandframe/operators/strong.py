@@ -1,19 +1,27 @@
 """Strongly connected components in rounds over an edge table.
 
 Colouring: every vertex takes the largest id from which it can be reached; the
-vertex that gives a colour its name, and all that reach it within the colour, are
-one component.  They leave, edges between colours leave too, and the rest is
-coloured anew.  Only vertices whose colour changed speak in the next round, and
-minima and maxima are combined map-side, so a hub is never gathered in one task.
+vertex that gives a colour its name, and all of the colour that reach it, are one
+component.  These are found by colouring the reversed edges of each colour.  They
+leave, edges between colours leave too, and the rest is coloured anew.  A round
+passes colours along edges and from the vertex a colour is named after to all that
+bear it, since what reaches that vertex reaches them, so that long ways take few
+rounds.  Maxima are combined map-side.
+
+Parts of the graph that hang together by at most ``SMALL`` links need no rounds: each
+is solved by a depth-first search in one task.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.session import cut_lineage
+from strandframe.operators.components import components
+from strandframe.session import settled
 
+SMALL = 10_000  # links of a part that one task may hold
 TRIMS = 3  # rounds that take off edges without a way in or out before each colouring
 
 
@@ -22,34 +30,66 @@ def _trimmed(links: DataFrame) -> DataFrame:
     for _ in range(TRIMS):
         entered = links.select(F.col("dst").alias("src")).distinct()
         left = links.select(F.col("src").alias("dst")).distinct()
-        links = cut_lineage(links.join(entered, "src", "left_semi").join(left, "dst", "left_semi"))
+        links = settled(links.join(entered, "src", "left_semi").join(left, "dst", "left_semi"))
     return links
 
 
 def _colours(links: DataFrame) -> DataFrame:
     """``v, colour``: the largest vertex from which each vertex of ``links`` can be reached."""
-    known = cut_lineage(links.select(F.col("src").alias("v")).union(links.select("dst")).distinct().select("v", F.col("v").alias("colour")))
-    fresh = known
+    known = settled(links.select(F.col("src").alias("v")).union(links.select("dst")).distinct().select("v", F.col("v").alias("colour")))
+    none = F.lit(None).cast(dict(links.dtypes)["src"])
     while True:
-        told = fresh.join(links, fresh["v"] == links["src"]).groupBy(F.col("dst").alias("v")).agg(F.max("colour").alias("_c"))
-        merged = cut_lineage(known.join(told, "v", "left").select("v", F.greatest("colour", "_c").alias("colour"),
-                                                                    (F.col("_c") > F.col("colour")).alias("_new")))
+        told = known.join(links, known["v"] == links["src"]).select(F.col("dst").alias("v"), F.col("colour").alias("c"), none.alias("old"))
+        named = known.select(F.col("v").alias("colour"), F.col("colour").alias("c"))
+        jumped = known.join(named, "colour").select("v", "c", F.col("colour").alias("old"))
+        merged = settled(told.unionByName(jumped).groupBy("v").agg(F.max("c").alias("colour"), F.max("old").alias("old")))
         known = merged.select("v", "colour")
-        fresh = merged.where("_new").select("v", "colour")
-        if fresh.isEmpty():
+        if merged.where("colour > old").isEmpty():
             return known
 
 
-def _members(links: DataFrame) -> DataFrame:
-    """``v, colour`` of all vertices that reach the vertex their colour is named after, by ``links`` of one colour."""
-    found = cut_lineage(links.select("colour").distinct().select(F.col("colour").alias("v"), "colour"))
-    fresh = found
-    while True:
-        back = links.join(fresh.select(F.col("v").alias("dst")), "dst", "left_semi").select(F.col("src").alias("v"), "colour").distinct()
-        fresh = cut_lineage(back.join(found, "v", "left_anti"))
-        if fresh.isEmpty():
-            return found
-        found = cut_lineage(found.unionByName(fresh))
+def roots_of(arcs: list[tuple]) -> dict:
+    """Vertex -> smallest vertex of its strong component, by one depth-first search with low points."""
+    out: dict = {}
+    for a, b in arcs:
+        out.setdefault(a, []).append(b)
+        out.setdefault(b, [])
+    order, low, open_, root = {}, {}, [], {}
+    for start in sorted(out):
+        if start in order:
+            continue
+        order[start] = low[start] = len(order)
+        open_.append(start)
+        calls = [(start, iter(out[start]))]
+        while calls:
+            v, rest = calls[-1]
+            w = next(rest, None)
+            if w is None:
+                calls.pop()
+                if calls:
+                    low[calls[-1][0]] = min(low[calls[-1][0]], low[v])
+                if low[v] == order[v]:
+                    own = []
+                    while not own or own[-1] != v:
+                        own.append(open_.pop())
+                    root.update(dict.fromkeys(own, min(own)))
+            elif w not in order:
+                order[w] = low[w] = len(order)
+                open_.append(w)
+                calls.append((w, iter(out[w])))
+            elif w not in root:
+                low[v] = min(low[v], order[w])
+    return root
+
+
+def _small_parts(links: DataFrame) -> DataFrame:
+    """``v, component`` by one search for each part of ``src, dst, part``."""
+    kind = dict(links.dtypes)["src"]
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(list(roots_of(list(zip(rows["src"].tolist(), rows["dst"].tolist()))).items()), columns=["v", "component"])
+
+    return links.groupBy("part").applyInPandas(solve, f"v {kind}, component {kind}")
 
 
 def strong_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -58,20 +98,26 @@ def strong_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     ``vertices`` has ``v``, ``edges`` has ``src, dst`` of the same type.
     """
     links = _trimmed(edges.where("src <> dst").select("src", "dst").distinct())
+    part = components(links.select(F.col("src").alias("id")), links).withColumnRenamed("component", "part")
+    links = settled(links.join(part.withColumnRenamed("id", "src"), "src"))
+    large = settled(links.groupBy("part").count().where(F.col("count") > SMALL).select("part"))
+    small = settled(_small_parts(links.join(large, "part", "left_anti")))
+    links = links.join(large, "part", "left_semi").select("src", "dst")
     parts = None
     while not links.isEmpty():
         colours = _colours(links)
         inside = (links.join(colours.select(F.col("v").alias("src"), "colour"), "src")
                   .join(colours.select(F.col("v").alias("dst"), F.col("colour").alias("_to")), "dst").where("colour = _to")
                   .select("src", "dst", "colour"))
-        inside = cut_lineage(inside)
-        members = _members(inside)
-        own = members.select("v", F.col("colour").alias("root"))
+        inside = settled(inside)
+        # the vertex a colour is named after is the largest of the colour: members are those that reach no larger one but it
+        reach = _colours(settled(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+        own = settled(reach.join(colours.withColumnRenamed("colour", "root"), "v").where("colour = root").select("v", "root"))
         parts = own if parts is None else parts.unionByName(own)
-        gone = members.select("v")
+        gone = own.select("v")
         links = _trimmed(inside.select("src", "dst").join(gone.withColumnRenamed("v", "src"), "src", "left_anti")
                          .join(gone.withColumnRenamed("v", "dst"), "dst", "left_anti"))
-    if parts is None:
-        return vertices.select("v", F.col("v").alias("component")).distinct()
-    named = parts.join(parts.groupBy("root").agg(F.min("v").alias("component")), "root").select("v", "component")
+    named = small
+    if parts is not None:
+        named = named.unionByName(parts.join(parts.groupBy("root").agg(F.min("v").alias("component")), "root").select("v", "component"))
     return vertices.select("v").distinct().join(named, "v", "left").select("v", F.coalesce("component", "v").alias("component"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["read_queries", "similarity_queries", "cluster_queries", "statistics_queries", "graph_queries", "file_queries", "overlap_queries"]
+MODULES = ["read_queries", "similarity_queries", "cluster_queries", "statistics_queries", "graph_queries", "file_queries", "overlap_queries", "assembly_queries"]
 
 
 def load():

@@ -45,6 +45,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read back, with the true size known to the optimizer.
+
+    For loops: a checkpoint hands on estimated sizes, whose product over the joins of each round grows without bound.
+    """
+    path = scratch_path(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only when the row count is checked to be within ``max_rows``."""
     seen = df.limit(max_rows + 1).count()
