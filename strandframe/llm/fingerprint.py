@@ -11,41 +11,58 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.llm.shared import map_batches
 
 SIZE = 128  # hashes kept: the standard error of a likeness is at most 0.05
-SEED = 7
+FACTOR, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd 64-bit numbers
+BLOCK = 65_536  # phrases hashed at once
 
 
-def parse(text: str, begin: int, known: set, added: set) -> int:
-    """Parse ``text`` from ``begin`` into ``added``; return where the open last phrase begins.
+def parse(text: str, begin: int, known: set) -> tuple[int, list[str]]:
+    """Parse ``text`` from ``begin``: where the open last phrase begins, and the new phrases, which join ``known``."""
+    added, phrase = [], ""
+    for c in text[begin:]:
+        phrase += c
+        if phrase not in known:
+            known.add(phrase)
+            added.append(phrase)
+            phrase = ""
+    return len(text) - len(phrase), added
 
-    ``known`` holds earlier phrases that are not to be changed.
+
+def _powers(factor: int, n: int) -> np.ndarray:
+    """``factor ** 0`` to ``factor ** (n - 1)`` modulo 2 ** 64."""
+    return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, factor, np.uint64)]))[:n]
+
+
+def _hashes(phrases: list[str]) -> np.ndarray:
+    """32-bit hashes: the mixed value of each phrase as a polynomial over its code points.
+
+    Sums over all phrases in a row give each one's value as a difference, moved back to exponent 0.
     """
-    add = added.add
-    for end in range(begin + 1, len(text) + 1):
-        phrase = text[begin:end]
-        if phrase not in added and phrase not in known:
-            add(phrase)
-            begin = end
-    return begin
+    lengths = np.fromiter(map(len, phrases), np.int64, len(phrases))
+    codes = np.frombuffer("".join(phrases).encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * _powers(FACTOR, len(codes)))])
+    ends = np.cumsum(lengths)
+    values = (sums[ends] - sums[ends - lengths]) * _powers(pow(FACTOR, -1, 1 << 64), len(codes) + 1)[ends - lengths]
+    for shift in (33, 29):
+        values = (values ^ (values >> np.uint64(shift))) * np.uint64(MIX)
+    return (values >> np.uint64(32)).astype(np.uint32)
 
 
 def smallest_hashes(phrases, size: int = SIZE) -> np.ndarray:
     """The smallest distinct 32-bit hashes, ascending."""
-    digest = xxhash.xxh32_intdigest
-    hashes = np.unique(np.fromiter((digest(p.encode("utf-8"), SEED) for p in phrases), np.uint32))
-    return hashes[:size]
+    phrases, least = list(phrases), np.zeros(0, np.uint32)
+    for at in range(0, len(phrases), BLOCK):
+        least = np.union1d(least, _hashes(phrases[at:at + BLOCK]))[:size]
+    return least
 
 
 def signature(text: str, size: int = SIZE) -> np.ndarray:
-    phrases: set = set()
-    parse(text, 0, set(), phrases)
-    return smallest_hashes(phrases, size)
+    return smallest_hashes(parse(text, 0, set())[1], size)
 
 
 def likeness(a: np.ndarray, b: np.ndarray, size: int = SIZE) -> float:
@@ -68,13 +85,13 @@ class Parsed:
         self.text, self.size = text, size
         self.kept = text[:len(text) - len(text) // 4]
         self.phrases: set = set()
-        self.open_at = parse(self.kept, 0, set(), self.phrases)
-        self.hashes = smallest_hashes(self.phrases, size)
+        self.open_at, added = parse(self.kept, 0, self.phrases)
+        self.hashes = smallest_hashes(added, size)
         self.signature = self._with(text)
 
     def _with(self, text: str) -> np.ndarray:
-        added: set = set()
-        parse(text, self.open_at, self.phrases, added)
+        _, added = parse(text, self.open_at, self.phrases)
+        self.phrases.difference_update(added)
         return np.union1d(self.hashes, smallest_hashes(added, self.size))[:self.size]
 
     def edited(self, following: str) -> tuple[str, np.ndarray]:
