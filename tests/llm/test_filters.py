@@ -332,3 +332,34 @@ def test_texts_under_one_key_are_told_apart(spark, documents, nothing):
         [(1, "a b c d e f"), (1, "p q r s t u"), (2, None), (None, "x"), (None, "x")], key=str)
     assert resemblance.one_of_similar(documents).columns == documents.columns
     assert resemblance.one_of_similar(nothing).count() == 0
+
+
+def test_large_groups_are_refined(spark):
+    from strandframe.llm import resemblance
+
+    texts = near_copies(13) + ["no word in common with any other text here"] * 3
+    docs = spark.createDataFrame([(i, t, "x", 0, 1) for i, t in enumerate(texts)], "doc_id long, text string, _id string, _key int, bits int")
+    kept = resemblance.one_of_similar(docs, largest=3)
+    assert kept.columns == docs.columns
+    kept = {r["doc_id"] for r in kept.collect()}
+    sets = [resemblance.shingles(t) for t in texts]
+    near = {(i, j) for i in range(len(sets)) for j in range(i) if resemblance.similarity(sets[i], sets[j]) >= 0.8}
+    assert not [p for p in near if kept.issuperset(p)]
+    assert {i for i in range(len(texts)) if i not in kept} <= {i for i, _ in near}
+
+
+def test_one_large_family_names_few_pairs(spark):
+    from strandframe.llm import resemblance
+
+    rng = random.Random(3)
+    base = ["w%d" % rng.randrange(10**6) for _ in range(200)]
+    texts = []
+    for i in range(600):
+        changed = list(base)
+        for at in rng.sample(range(200), rng.randint(1, 4)):
+            changed[at] = "c%d" % rng.randrange(10**6)
+        texts.append((i, " ".join(changed)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    kept = [resemblance.shingles(r["text"]) for r in resemblance.one_of_similar(docs, largest=100).collect()]
+    assert 0 < len(kept) < 60
+    assert not [1 for i in range(len(kept)) for j in range(i) if resemblance.similarity(kept[i], kept[j]) >= 0.8]
