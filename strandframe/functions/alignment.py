@@ -352,6 +352,21 @@ def bounded_score(s1, s2, tau: int):
     return score(s1, s2)
 
 
+def thinned(seq, most: int):
+    """Distinct strings that are left when up to ``most`` characters are taken out, anywhere; for short sequences."""
+    def fewer(text: str) -> list[str]:
+        every = last = {text}
+        for _ in range(most):
+            last = {x[:i] + x[i + 1:] for x in last for i in range(len(x))}
+            every = every | last
+        return list(every)
+
+    @F.pandas_udf("array<string>")
+    def thin(batch: pd.Series) -> pd.Series:
+        return pd.Series([fewer(x) for x in batch], dtype=object)
+    return thin(seq)
+
+
 def choose_anchors(costs, k: int, count: int):
     @F.pandas_udf("array<int>")
     def choose(batch: pd.Series) -> pd.Series:

@@ -17,7 +17,7 @@ from strandframe.functions import alignment as A
 from strandframe.functions import sequences as S
 from strandframe.operators.kmers import keep_best, kmer_table
 from strandframe.operators.reads import minimum_read_length
-from strandframe.session import cut_lineage
+from strandframe.session import cut_lineage, settled
 
 SEEDS = {"single": 1, "pair": 2, "triple": 3}
 
@@ -90,31 +90,73 @@ def seeded_pairs(a: DataFrame, b: DataFrame, tau: int) -> DataFrame:
 
     The shorter read offers its blocks at its own level and the longer one
     answers with displaced windows, so both directions are tried.  Reads of at most
-    ``2 * tau`` bases have no block that must stay intact and are paired by ``short_pairs``.
+    ``2 * tau`` bases have no block that must stay intact; ``short_hits`` answers them.
     """
     def probe(short: DataFrame, long: DataFrame, names: tuple[str, str]) -> DataFrame:
         s = _seed_rows(short, tau, probing=False).withColumnRenamed("seq_id", names[0])
         t = _seed_rows(long, tau, probing=True).withColumnRenamed("seq_id", names[1])
         return s.join(t, ["lv", "block", "seed"]).select(*names).distinct()
-    seeded = probe(a, b, ("a_id", "b_id")).unionByName(probe(b, a, ("b_id", "a_id")))
-    if tau == 0:  # only the empty read has no block; the SQL of the exact hits leaves it out
-        return seeded.distinct()
-    few = short_pairs(a, b, tau, ("a_id", "b_id")).unionByName(short_pairs(b, a, tau, ("b_id", "a_id")))
-    return seeded.unionByName(few).distinct()
+    return probe(a, b, ("a_id", "b_id")).unionByName(probe(b, a, ("b_id", "a_id"))).distinct()
 
 
-def short_pairs(short: DataFrame, long: DataFrame, tau: int, names: tuple[str, str]) -> DataFrame:
-    """Pairs of a read of at most ``2 * tau`` bases with any read of the other side, by their ids.
+def _keys(whole: DataFrame, begun: DataFrame, col: str, tau: int) -> DataFrame:
+    """A ``key`` for each of ``whole`` and for each start of ``begun``, without up to ``tau`` of its bases."""
+    starts = F.transform(F.sequence(F.lit(0), F.length(col)), lambda n: F.substr(F.col(col), F.lit(1), n))
+    texts = whole.withColumns({"text": F.col(col), "whole": F.lit(True)}).unionByName(
+        begun.withColumns({"text": F.explode(starts), "whole": F.lit(False)}))
+    return texts.withColumn("key", F.explode(A.thinned("text", tau))).drop("text").distinct()
 
-    A score looks at no base of the longer read beyond the length of the shorter one and
-    ``tau``, so reads meet by their starts: distinct short reads are scored against distinct
-    starts of ``3 * tau`` bases.
+
+def _met(few: DataFrame, starts: DataFrame, tau: int, longest: int) -> DataFrame:
+    """Pairs of ``few`` (``side, _s, s_open``) and ``starts`` (``side, _t, t_open``), one of them open: a superset of those within ``tau`` edits.
+
+    One of the two is used up and meets a start of the other.  Strings within ``tau`` edits
+    become equal when each loses at most ``tau`` bases.  Closed reads meet open ones only.
     """
-    few = short.where(F.length("seq") <= 2 * tau).select(F.col("seq_id").alias(names[0]), F.col("seq").alias("_s"))
-    starts = long.select(F.col("seq_id").alias(names[1]), F.substring("seq", 1, 3 * tau).alias("_t"))
-    met = few.select("_s").distinct().crossJoin(starts.select("_t").distinct())
-    close = met.where(A.bounded_score("_s", "_t", tau).isNotNull())
-    return close.join(few, "_s").join(starts, "_t").select(*names)
+    low = starts.where(F.length("_t") < longest + tau)  # a longer one is not used up before a read of ``longest`` bases
+    left = _keys(few, few, "_s", tau).withColumn("ask", F.when(F.col("s_open"), 0).otherwise(1))
+    right = _keys(low, starts, "_t", tau).withColumn("whole", ~F.col("whole"))
+    right = right.withColumn("ask", F.explode(F.when(F.col("t_open"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, ["side", "whole", "key", "ask"]).select("side", "_s", "_t", "s_open", "t_open").distinct()
+
+
+def short_hits(a: DataFrame, b: DataFrame, tau: int) -> DataFrame | None:
+    """``side, q_id, hit_id, score`` of the best hits in which a read of at most ``2 * tau`` bases takes part.
+
+    Holds the best hits of these reads, and for every other read its best hits among them;
+    None if there are none.  A score looks at no base of the longer read beyond the length of the
+    shorter one and ``tau``, so distinct short reads meet distinct starts of ``3 * tau``
+    bases, whose number has a bound whatever the input.  The bound on edits rises from 0, and
+    only what has no hit yet is sought further: a read of ``tau`` bases is within ``tau``
+    edits of every read, but the best hits are few.
+    """
+    def both(pick) -> DataFrame:
+        return pick(a, b, "a").unionByName(pick(b, a, "b"))
+    starts = settled(both(lambda own, other, side: other.select(
+        F.lit(side).alias("side"), F.col("seq_id").alias("t_id"), F.substring("seq", 1, 3 * tau).alias("_t"))))
+    few = starts.where(F.length("_t") <= 2 * tau).select(
+        F.translate("side", "ab", "ba").alias("side"), F.col("t_id").alias("s_id"), F.col("_t").alias("_s"))
+    if few.isEmpty():
+        return None
+    all_s, all_t = few.select("side", "_s").distinct(), starts.select("side", "_t").distinct()
+
+    def marked(every: DataFrame, col: str, flag: str, hits: DataFrame | None) -> DataFrame:
+        if hits is None:
+            return every.withColumn(flag, F.lit(True))
+        known = hits.select("side", col).distinct().withColumn("_known", F.lit(True))
+        return every.join(known, ["side", col], "left").select("side", col, F.col("_known").isNull().alias(flag))
+    hits = None
+    for bound in range(tau + 1):
+        asking, asked = marked(all_s, "_s", "s_open", hits), marked(all_t, "_t", "t_open", hits)
+        if hits is not None and asking.where("s_open").isEmpty() and asked.where("t_open").isEmpty():
+            break
+        met = _met(asking, asked, bound, 2 * tau)
+        found = settled(met.withColumn("score", A.bounded_score("_s", "_t", bound)).where("score IS NOT NULL"))
+        hits = found if hits is None else hits.unionByName(found)
+    ways = F.array(F.when(F.col("s_open"), F.struct("side", F.col("s_id").alias("q_id"), F.col("t_id").alias("hit_id"))),
+                   F.when(F.col("t_open"), F.struct(F.translate("side", "ab", "ba").alias("side"), F.col("t_id").alias("q_id"), F.col("s_id").alias("hit_id"))))
+    rows = hits.join(few, ["side", "_s"]).join(starts, ["side", "_t"])
+    return rows.select(F.explode(F.array_compact(ways)).alias("w"), "score").select("w.*", "score").distinct()
 
 
 def _both_ways(a: DataFrame, b: DataFrame, k: int, tau: int, strategy: str) -> DataFrame:
@@ -144,7 +186,8 @@ def candidates(a: DataFrame, b: DataFrame, k: int, tau: int, strategy: str) -> D
     """``a_id, b_id``: a superset of the pairs within ``tau`` edits.
 
     ``naive`` uses position-bound seeds instead of anchors; the anchored strategies
-    use them for reads below ``minimum_read_length``.
+    use them for reads below ``minimum_read_length``.  With ``tau > 0`` the pairs of reads of
+    at most ``2 * tau`` bases are left to ``short_hits``.
     """
     if strategy == "naive":
         return seeded_pairs(a, b, tau)
@@ -156,11 +199,14 @@ def best_hits(a: DataFrame, b: DataFrame, k: int = 36, tau: int = 3, strategy: s
 
     The scored pairs are used four times and therefore written once.
     """
+    def one_way(rows: DataFrame, side: str, q: str, hit: str) -> DataFrame:
+        return rows.select(F.lit(side).alias("side"), F.col(q).alias("q_id"), F.col(hit).alias("hit_id"), "score")
     scored = cut_lineage(score_pairs(candidates(a, b, k, tau, strategy), a, b, tau))
-    sides = scored.select(F.lit("a").alias("side"), F.col("a_id").alias("q_id"), F.col("b_id").alias("hit_id"), "score")
-    sides = sides.unionByName(scored.select(F.lit("b").alias("side"), F.col("b_id").alias("q_id"),
-                                            F.col("a_id").alias("hit_id"), "score"))
-    return keep_best(sides, ["side", "q_id"])
+    sides = one_way(scored, "a", "a_id", "b_id").unionByName(one_way(scored, "b", "b_id", "a_id"))
+    if tau == 0:
+        return keep_best(sides, ["side", "q_id"])
+    few = short_hits(a, b, tau)
+    return keep_best(cut_lineage(sides.unionByName(few)) if few else sides, ["side", "q_id"])
 
 
 def best_hit_lines(hits: DataFrame, queries: DataFrame) -> DataFrame:
