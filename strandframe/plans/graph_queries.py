@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandframe.operators import contigs as C
 from strandframe.operators import graph as G
 from strandframe.operators.components import components
 from strandframe.operators.histograms import histogram
@@ -58,6 +59,34 @@ def gr4(spark, d):
     return c.select("edge_id", "src", "dst", "length", F.round("coverage", 6).alias("coverage"))
 
 
+_RC = "reverse(translate(kmer, 'ACGT', 'TGCA'))"
+CONTIG_SQL = (V.TURNS_SQL + ", " + kmers_sql(K + 1, "turns", "conv_id") + ", one AS MATERIALIZED (SELECT kmer, COUNT(*) AS n FROM occ GROUP BY kmer), "
+              f"e AS MATERIALIZED (SELECT kmer AS edge, substr(kmer, 1, {K}) AS src, substr(kmer, 2) AS dst, CAST(SUM(n) AS BIGINT) AS n FROM "
+              f"(SELECT kmer, n FROM one UNION ALL SELECT {_RC}, n FROM one WHERE kmer <> {_RC}) GROUP BY kmer), "
+              "inner_v AS MATERIALIZED (SELECT v FROM (SELECT src AS v, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY v HAVING SUM(i) = 1 AND SUM(o) = 1), "
+              "we AS MATERIALIZED (SELECT e.*, s.v IS NOT NULL AS goes_on, t.v IS NOT NULL AS more FROM e LEFT JOIN inner_v s ON s.v = src LEFT JOIN inner_v t ON t.v = dst), "
+              "walk AS (SELECT edge AS contig_id, edge AS last, dst, [n] AS ns, edge AS seq, more FROM we WHERE NOT goes_on "
+              "UNION ALL SELECT w.contig_id, x.edge, x.dst, list_append(w.ns, x.n), w.seq || substr(x.dst, -1), x.more FROM walk w JOIN we x ON x.src = w.dst WHERE w.more), "
+              "c AS (SELECT contig_id, reverse(translate(last, 'ACGT', 'TGCA')) AS conj_id, dst, ns, seq FROM walk WHERE NOT more)")
+
+
+def contigs(spark, d):
+    return C.contigs(V.turn_reads(spark, d).withColumn("read_id", F.lit(0)), K)
+
+
+@query("gr4_contigs", f"WITH RECURSIVE {CONTIG_SQL} SELECT contig_id, conj_id, substr(contig_id, 1, {K}) AS src, dst, CAST(len(ns) AS BIGINT) AS length, seq FROM c")
+def gr4_contigs(spark, d):
+    """Both strands with merged sequences; as above, the SQL walks from branch points."""
+    return contigs(spark, d).select("contig_id", "conj_id", "src", "dst", "length", "seq")
+
+
+@query("gr13_flanking_coverage", f"WITH RECURSIVE {CONTIG_SQL} SELECT contig_id, round(list_sum(ns) / len(ns), 6) AS coverage, "
+       "round(list_avg(ns[1:10]), 6) AS start_coverage, round(list_avg(ns[-10:]), 6) AS end_coverage FROM c")
+def gr13_flanks(spark, d):
+    """Mean coverage of each contig, and of its first and last ten (k+1)-mers."""
+    return contigs(spark, d).select("contig_id", *[F.round(c, 6).alias(c) for c in ("coverage", "start_coverage", "end_coverage")])
+
+
 @query("gr6_tips", f"WITH {WD_SQL} SELECT edge_id FROM wd WHERE (dst_in + dst_out = 1 OR src_in + src_out = 1) AND src_out + dst_in > 2 AND length <= 1")
 def gr6_tips(spark, d):
     return G.tips(de_bruijn(spark, d), 1).select("edge_id")
