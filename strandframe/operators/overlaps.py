@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from strandframe.functions import sequences as S
 from strandframe.operators.components import components
-from strandframe.operators.kmers import kmer_table
+from strandframe.operators.kmers import sought_kmers
 from strandframe.operators.similarity import sequence_sets
+from strandframe.session import settled
 
 
 def exact_overlaps(seqs: DataFrame, min_overlap: int = 200) -> DataFrame:
@@ -20,17 +21,17 @@ def exact_overlaps(seqs: DataFrame, min_overlap: int = 200) -> DataFrame:
     only true repeats of that length meet; every candidate is then compared in
     full.  The direct strand goes first, then the smallest ``start1 - start2``.
     """
-    long_enough = seqs.where(F.length("seq") >= min_overlap)
+    long_enough = settled(seqs.where(F.length("seq") >= min_overlap))  # used for windows, ends and both sides of the comparison
     head = S.piece("seq", 0, min_overlap)
     tail = S.piece("seq", F.length("seq") - min_overlap, min_overlap)
     # how the end of y is looked for in x: its head, the head of its reverse, its head reversed
     ends = long_enough.select(F.col("seq_id").alias("y"), F.length("seq").alias("ny"), F.explode(F.array(
-        F.struct(F.lit(0).alias("how"), F.xxhash64(head).alias("key")),
-        F.struct(F.lit(1).alias("how"), F.xxhash64(S.reverse_complement(tail)).alias("key")),
-        F.struct(F.lit(2).alias("how"), F.xxhash64(S.reverse_complement(head)).alias("key")))).alias("e")).select("y", "ny", "e.how", "e.key")
-    windows = kmer_table(long_enough.withColumn("nx", F.length("seq")), min_overlap, ["seq_id", "nx"]).select(
-        F.col("seq_id").alias("x"), "nx", F.col("pos").alias("p"), F.xxhash64("kmer").alias("key"))
-    met = windows.join(ends, "key").where("x <> y")
+        F.struct(F.lit(0).alias("how"), head.alias("kmer")),
+        F.struct(F.lit(1).alias("how"), S.reverse_complement(tail).alias("kmer")),
+        F.struct(F.lit(2).alias("how"), S.reverse_complement(head).alias("kmer")))).alias("e")).select("y", "ny", "e.how", "e.kmer")
+    windows = sought_kmers(long_enough.withColumn("nx", F.length("seq")), min_overlap, ["seq_id", "nx"], ends).select(
+        F.col("seq_id").alias("x"), "nx", F.col("pos").alias("p"), "key")
+    met = windows.join(ends.withColumn("key", F.xxhash64("kmer")).drop("kmer"), "key").where("x <> y")
     x_first, p, nx, ny, how = F.col("x") < F.col("y"), F.col("p"), F.col("nx"), F.col("ny"), F.col("how")
     b = nx - min_overlap - p
     n = F.when(how == 2, F.least(ny, nx - b)).otherwise(F.least(nx - p, ny))
