@@ -25,7 +25,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that share four fifths of their five-word shingles the one with the smaller id stays."""
+    """Of texts that share four fifths of their five-word shingles the one with the smaller id stays: found by SimHash, then by min-hash."""
     return resemblance.one_of_similar(docs)
 
 

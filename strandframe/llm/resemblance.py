@@ -1,9 +1,10 @@
 """One of each set of near copies: shingles of five words, Jaccard similarity of 0.8 or more.
 
-A pair of 0.8 lies about ten of 64 SimHash bits apart, where pigeonhole blocks are too
-small to tell texts apart.  Candidates therefore meet in bands of min-hashes (a pair of
-0.8 meets in none of them with a chance below 1 in 10,000), and each is confirmed on the
-shingles themselves.
+SimHash comes first: of texts whose fingerprints hang together over three bits those go that are
+confirmed to be like the earliest.  A pair of 0.8 may lie about ten of 64 SimHash bits apart, where
+pigeonhole blocks are too small to tell texts apart.  Candidates among what is left therefore meet in bands of
+min-hashes (a pair of 0.8 meets in none of them with a chance below 1 in 10,000), and each is
+confirmed on the shingles themselves.
 
 Inside a band texts are told apart by their signatures in numpy, and no pairs are made
 there: a text names the earlier ones most like it, first one, then of what is left eight,
@@ -19,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandframe.llm import simhash
 from strandframe.llm.shared import map_batches, written
 
 SHINGLE = 5
@@ -186,6 +188,17 @@ def copies(texts: DataFrame, key: str, least: float = SIMILARITY, largest: int =
         wanted *= 8  # a round costs more than the few pairs named too many
 
 
+def print_copies(texts: DataFrame, key: str, least: float = SIMILARITY) -> DataFrame:
+    """``_id`` of texts whose SimHash hangs together with that of an earlier text they are at least ``least`` similar to.
+
+    Parts of fingerprints are those of ``simhash.near_duplicates``; the earliest text of a part stands for it.
+    """
+    parts = simhash.near_duplicates(texts, "_id", "_body").select("_id", "component_id").join(texts.select("_id", key), "_id")
+    first = parts.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("_id", F.struct(key, "_id")).alias("first"))
+    pairs = written(parts.join(first.where("n > 1"), "component_id").where(F.col("_id") != F.col("first")).select("_id", "first"), "prints")
+    return written(_confirmed(pairs, texts.select("_id", "_body"), least).select("_id"), "copies")
+
+
 def one_of_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY,
                    largest: int = LARGEST_GROUP) -> DataFrame:
     """``docs`` without later near copies, with all columns, whatever their names.
@@ -198,5 +211,7 @@ def one_of_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
                                                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     texts = written(whole.groupBy("_id").agg(F.min("_key").alias("_key"), F.min_by("_row", "_key").alias("_row")), "texts")
     bodies = texts.select("_id", "_key", F.coalesce(F.col("_row").getField(text), F.lit("")).alias("_body"))
-    kept = texts.join(copies(bodies, "_key", least, largest), "_id", "left_anti").select("_row.*")
+    alike = print_copies(bodies, "_key", least)
+    found = copies(bodies.join(alike, "_id", "left_anti"), "_key", least, largest)
+    kept = texts.join(alike.unionByName(found), "_id", "left_anti").select("_row.*")
     return kept.unionByName(docs.where(F.col(key).isNull()))
