@@ -5,6 +5,8 @@ from collections import Counter
 
 from strandframe.functions.minimizers import core_length, kmer_runs, runs
 from strandframe.operators import kmers as K
+from strandframe.operators import overlaps as O
+from strandframe.operators import similarity as M
 
 
 def texts(n, seed, size=700):
@@ -46,3 +48,45 @@ def test_counts_of_copies_and_no_shuffle_of_kmers(spark):
     assert sorted(r.kmer for r in every.collect()) == sorted(expected)
     for df in (counted, every):
         assert "hashpartitioning(kmer" not in plan(df) and "hashpartitioning(bin" in plan(df)
+
+
+def sets(spark, own, first=0):
+    return spark.createDataFrame([(first + i, t, 1) for i, t in enumerate(own)], "seq_id int, seq string, copies int")
+
+
+def test_sought_kmers_are_the_occurrences_of_the_wanted(spark):
+    own = [t for t in texts(12, 3) if len(t) >= 40] + ["ACGGT" * 80]
+    wanted = [own[0][:36], own[1][4:40], "ACGGT" * 7 + "A", "T" * 36]
+    found = K.sought_kmers(sets(spark, own), 36, ["seq_id"], spark.createDataFrame([(w,) for w in wanted * 2], "kmer string"))
+    expected = sorted((i, p) for i, t in enumerate(own) for p in range(len(t) - 35) if t[p:p + 36] in wanted)
+    assert sorted((r.seq_id, r.pos) for r in found.collect()) == expected
+    assert "hashpartitioning(key" not in plan(found)
+
+
+def test_anchors_count_at_their_own_place_only(spark):
+    a, moved = texts(1, 4, 2)[0] + "ACGTTGCAAC" * 3 + "GATTACA" * 20, "T" * 40
+    a = a[:150]
+    found = M.anchored_candidates(sets(spark, [a]), sets(spark, [a + "CC", moved + a], 10), 36, 0, "single")
+    assert [tuple(r) for r in found.collect()] == [(0, 10)]
+
+
+def test_end_counts_shuffle_ends_only(spark):
+    own = texts(25, 5) + ["", None, "ACGT" * 9]
+    df = spark.createDataFrame([(i // 2, t) for i, t in enumerate(own)] + [(None, own[0] + "ACGT" * 30)], "read_id int, seq string")
+    kept = {}
+    for i, t in [(i // 2, t) for i, t in enumerate(own)] + [(None, own[0] + "ACGT" * 30)]:
+        for p in range(len(t or "") - 35):
+            if p < 50 or p + 36 > len(t) - 50:
+                kept.setdefault(i, []).append(t[p:p + 36])
+    counted = K.end_counts(df, 36, 50)
+    assert {r.read_id: (r.places, r.kmers) for r in counted.collect()} == {i: (len(x), len(set(x))) for i, x in kept.items()}
+    assert "hashpartitioning(read_id" in plan(counted) and ", kmer" not in "".join(x for x in plan(counted).splitlines() if "Exchange" in x)
+
+
+def test_overlaps_meet_without_a_shuffle_of_windows(spark, monkeypatch):
+    asked, plain = [], O.sought_kmers
+    monkeypatch.setattr(O, "sought_kmers", lambda *a: asked.append(1) or plain(*a))
+    r = random.Random(6)
+    t = "".join(r.choice("ACGT") for _ in range(500))
+    found = O.exact_overlaps(sets(spark, [t[:300], t[200:]]), 60).collect()
+    assert [(x.id1, x.id2, x.reverse, x.start1, x.start2, x.overlap) for x in found] == [(0, 1, False, 200, 0, 100)] and asked
