@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from strandframe.functions import sequences as S
 from strandframe.operators.components import components
 from strandframe.operators.kmers import kmer_table
-from strandframe.session import cut_lineage
+from strandframe.session import cut_lineage, settled
 
 
 def de_bruijn_edges(reads: DataFrame, k: int) -> DataFrame:
@@ -238,12 +238,19 @@ def remove_bulges(edges: DataFrame, max_length: int, max_coverage: float = 1000.
     return _until_stable(edges, step)
 
 
+def _ways_within(ways: DataFrame, bound: int) -> DataFrame:
+    """``ways`` written once for all rounds; a step above ``bound`` leads nowhere, unless a negative one may make up for it."""
+    ways = settled(ways)
+    least = ways.agg(F.min("step")).first()[0]
+    return ways if least is not None and least < 0 else ways.where(F.col("step") <= bound)
+
+
 def shortest_distances(edges: DataFrame, sources: DataFrame, bound: int, backward: bool = False,
                        max_edge: int | None = None) -> DataFrame:
     """``source, v, distance`` of all vertices within ``bound``, along or against the edges."""
     head, tail = ("dst", "src") if backward else ("src", "dst")
     usable = edges if max_edge is None else edges.where(F.col("length") <= max_edge)
-    ways = usable.groupBy(F.col(head).alias("v"), F.col(tail).alias("to")).agg(F.min("length").alias("step"))
+    ways = _ways_within(usable.groupBy(F.col(head).alias("v"), F.col(tail).alias("to")).agg(F.min("length").alias("step")), bound)
     known = cut_lineage(sources.select(F.col("v").alias("source"), "v", F.lit(0).cast("long").alias("distance")).distinct())
     fresh = known
     while True:
@@ -259,7 +266,7 @@ def shortest_distances(edges: DataFrame, sources: DataFrame, bound: int, backwar
 
 def path_lengths(edges: DataFrame, sources: DataFrame, low: int, high: int) -> DataFrame:
     """``source, v, length``: lengths of all paths within the bounds, each length once."""
-    ways = edges.select(F.col("src").alias("v"), F.col("dst").alias("to"), F.col("length").alias("step")).distinct()
+    ways = _ways_within(edges.select(F.col("src").alias("v"), F.col("dst").alias("to"), F.col("length").alias("step")).distinct(), high)
     state = sources.select(F.col("v").alias("source"), "v", F.lit(0).cast("long").alias("length"))
     seen = None
     while True:

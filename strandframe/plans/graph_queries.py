@@ -114,9 +114,8 @@ TWO_WAY_SQL = SUPPLY_SQL + ", w AS (SELECT src, dst, length FROM e UNION ALL SEL
 
 
 def two_way(spark, d):
-    e = supply(spark, d)
-    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "length")
-    return e.select("src", "dst", "length").unionByName(back)
+    ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return supply(spark, d).select(F.explode(ways).alias("w"), "length").select("w.src", "w.dst", "length")
 
 
 def suppliers(spark, d):
