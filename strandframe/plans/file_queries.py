@@ -75,9 +75,9 @@ def src4(spark, d):
 @query("src5_paired_fastq", f"WITH {FASTQ_SQL} SELECT name AS name1, seq AS s1, name AS name2, {rc('seq')} AS s2, reverse(quality) AS q2 FROM fq")
 def src5(spark, d):
     """Both mates are written in read order and joined by place."""
-    r = fastq(spark, d)
-    left = written(spark, OUT.fastq_lines(r.orderBy("read_id")), "left")
-    right = written(spark, OUT.fastq_lines(r.orderBy("read_id"), F.lit(True)), "right")
+    r = named(spark, d).orderBy("read_id").withColumn("quality", F.translate("seq", *QUALITY))  # made after the sort
+    left = written(spark, OUT.fastq_lines(r), "left")
+    right = written(spark, OUT.fastq_lines(r, F.lit(True)), "right")
     return IN.read_paired_fastq(spark, left, right).select("name1", "s1", "name2", "s2", "q2")
 
 

@@ -47,15 +47,16 @@ def read_fastq(spark: SparkSession, paths: str | Sequence[str], keep_marker: boo
     """``file, ordinal, name, seq, quality``; sequence and quality must be equally long.
 
     The four lines of a record are combined before the shuffle wherever they share
-    a block.  ``across`` numbers the records over all files by name.
+    a block.  ``across`` numbers the records over all files by name, and the lines are dealt by that number, so that
+    records of two such sets meet by it without another shuffle.
     """
     lines = numbered_records(spark, paths, across=across).select(
         "file", F.expr("ordinal div 4").alias("ordinal"), F.expr("ordinal % 4").alias("line"), F.regexp_replace("value", "\r$", "").alias("value"))
     pick = lambda n: F.coalesce(F.max(F.when(F.col("line") == n, F.col("value"))), F.lit(""))
-    records = lines.groupBy("file", "ordinal").agg(pick(0).alias("name"), pick(1).alias("seq"), pick(3).alias("quality"))
+    records = (lines.repartition("ordinal").groupBy("ordinal", "file") if across else lines.groupBy("file", "ordinal")).agg(pick(0).alias("name"), pick(1).alias("seq"), pick(3).alias("quality"))
     fits = F.length("seq") == F.length("quality")
     checked = F.when(fits, F.col("quality")).otherwise(F.raise_error(F.concat(F.lit("sequence and quality differ in length: "), "name")))
-    named = records.withColumn("quality", checked).where("name <> '' AND seq <> '' AND quality <> ''")
+    named = records.select("file", "ordinal", "name", "seq", "quality").withColumn("quality", checked).where("name <> '' AND seq <> '' AND quality <> ''")
     return named if keep_marker else named.withColumn("name", F.regexp_replace("name", "^@", ""))
 
 
