@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandframe.session import cut_lineage, shuffle_partitions
+from strandframe.session import settled, shuffle_partitions
 
 RANGE = "_range"
 
@@ -18,11 +18,11 @@ RANGE = "_range"
 def split_ranges(df: DataFrame, *keys: str, ranges: int | None = None) -> DataFrame:
     """Add ``_range``: ordered, evenly filled key ranges.
 
-    Range bounds come from a sample, so the result is checkpointed: every later
-    use must see the same bounds.
+    Range bounds come from a sample, so the result is written: every later
+    use must see the same bounds, and reads only the columns it needs.
     """
     n = ranges or shuffle_partitions(df.sparkSession)
-    return cut_lineage(df.repartitionByRange(n, *keys).withColumn(RANGE, F.spark_partition_id()))
+    return settled(df.repartitionByRange(n, *keys).withColumn(RANGE, F.spark_partition_id()))
 
 
 def range_window(*keys: str, descending: bool = False):
@@ -103,10 +103,17 @@ def keyed_running(split: DataFrame, keys: list[str], order: list[str], how: str,
     """Running ``sum``, ``min`` or ``max`` of ``value`` per key over ranges from ``keyed_ranges``."""
     agg, merge = _AGGREGATE[how], _JOIN_CARRY[how]
     frame = Window.partitionBy(RANGE, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    totals = split.groupBy(RANGE, *keys).agg(agg(value).alias("_t"))
-    earlier = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.withColumn("_carry", agg("_t").over(earlier)).where("_carry IS NOT NULL").drop("_t")
-    joined = split.withColumn(out, agg(value).over(frame)).join(carry, [RANGE, *keys], "left")
+    # a key that goes on into later ranges is the last one of its range and the first one of theirs: one row per range
+    key = F.struct(*keys)
+    ends = split.groupBy(RANGE).agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
+    totals = (split.join(F.broadcast(ends), RANGE).where(key == F.col("_last"))
+              .groupBy(RANGE, "_first", "_last").agg(agg(value).alias("_t")))
+    told = totals.select(RANGE, F.explode(F.array(
+        F.struct(F.col("_last").alias("k"), F.col("_t").alias("t"), F.lit(False).alias("asks")),
+        F.struct(F.col("_first").alias("k"), F.lit(None).alias("t"), F.lit(True).alias("asks")))).alias("e")).select(RANGE, "e.*")
+    earlier = Window.partitionBy("k").orderBy(RANGE).rangeBetween(Window.unboundedPreceding, -1)
+    carry = told.withColumn("_carry", agg("t").over(earlier)).where("asks AND _carry IS NOT NULL").select(RANGE, "k.*", "_carry")
+    joined = split.withColumn(out, agg(value).over(frame)).join(F.broadcast(carry), [RANGE, *keys], "left")
     here = F.coalesce(F.col(out), F.lit(0)) if how == "sum" else F.col(out)
     return joined.withColumn(out, merge(here, F.col("_carry"))).drop("_carry")
 
