@@ -3,10 +3,15 @@
 import random
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
+from strandframe.functions import alignment as A
 from strandframe.functions.minimizers import core_length, kmer_runs, runs
 from strandframe.operators import kmers as K
 from strandframe.operators import overlaps as O
 from strandframe.operators import similarity as M
+from test_alignment import mutate, rand
 
 
 def texts(n, seed, size=700):
@@ -90,3 +95,74 @@ def test_overlaps_meet_without_a_shuffle_of_windows(spark, monkeypatch):
     t = "".join(r.choice("ACGT") for _ in range(500))
     found = O.exact_overlaps(sets(spark, [t[:300], t[200:]]), 60).collect()
     assert [(x.id1, x.id2, x.reverse, x.start1, x.start2, x.overlap) for x in found] == [(0, 1, False, 200, 0, 100)] and asked
+
+
+def test_prices_are_counts_of_kmers_in_the_other_set(spark):
+    rng = random.Random(11)
+    common = rand(90, rng)
+    own = [rand(rng.randrange(20, 200), rng) + common for _ in range(30)] + ["A" * 900, "ACGT" * 100]
+    other = [common * 3, "A" * 700, common[10:70], rand(400, rng)]
+    counts = Counter(t[i:i + 36] for t in other for i in range(len(t) - 35))
+    got = {r.q_id: r.costs for r in M._costs(sets(spark, own), sets(spark, other), 36).collect()}
+    assert got == {n: [counts[s[i:i + 36]] for i in range(len(s) - 35)] for n, s in enumerate(own) if len(s) >= 36}
+
+
+def test_kmers_of_a_bin_over_several_batches(spark):
+    """Small batches: a bin whose rows are split keeps what was told; others are forgotten."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        own = ["A" * (700 + n) for n in range(12)] + ["ACGTTGCA" * 30]
+        got = {r.q_id: r.costs for r in M._costs(sets(spark, own), sets(spark, own[:5]), 36).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    total = sum(700 + n - 35 for n in range(5))
+    assert got == {n: [total if s[0:2] == "AA" else 0] * (len(s) - 35) for n, s in enumerate(own)}
+
+
+@pytest.mark.parametrize("tau", [0, 1, 3])
+def test_outlines_rule_out_no_pair_within_the_bound(spark, tau):
+    rng = random.Random(tau)
+    rows = []
+    for _ in range(300):
+        s = rand(rng.randrange(0, 400), rng)
+        t = s
+        for _ in range(rng.randrange(0, tau + 1)):
+            t = mutate(t, 1, rng)
+        rows.append((s, t[:rng.randrange(len(t) + 1)] if rng.random() < 0.3 else t + rand(rng.randrange(9), rng), rand(len(s) + 20, rng)))
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    ask = lambda x, y: A.outlines_agree(A.outline(x), A.outline(y), F.least(F.length(x), F.length(y)), tau)
+    got = df.select("a", "b", ask("a", "b").alias("ab"), ask("a", "c").alias("ac")).collect()
+    assert all(r.ab for r in got if A.edits_within(r.a, r.b, tau) is not None)
+    assert sum(r.ac for r in got if len(r.a) > 60) < 60
+
+
+def test_pairs_with_like_outlines_only_are_scored(spark):
+    """A start that many reads share made every pair of them move both sequences."""
+    rng = random.Random(5)
+    start = rand(200, rng)
+    a, b = ([start + rand(400, rng) for _ in range(12)] for _ in range(2))
+    b[3] = a[4]
+    pairs = spark.createDataFrame([(i, j) for i in range(12) for j in range(12)], "a_id int, b_id int")
+    assert M._outlined(pairs, sets(spark, a), sets(spark, b), 3).count() < 40
+    assert [(r.a_id, r.b_id, r.score) for r in M.score_pairs(pairs, sets(spark, a), sets(spark, b), 3).collect()] == [(4, 3, 0)]
+
+
+def test_near_copies_travel_to_blocks_and_not_to_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    base = rand(300, rng)
+    a, b = ([mutate(base, rng.randrange(4), rng) for _ in range(40)] for _ in range(2))
+    pairs = spark.createDataFrame([(i, j) for i in range(40) for j in range(40)], "a_id int, b_id int")
+    monkeypatch.setattr(M, "BLOCK", 16)
+    blocks = M._blocks(pairs)
+    assert blocks.select("g", "ca", "cb", "a_id").distinct().count() <= 3 * 40 and blocks.count() == 1600
+    for tau in (0, 3):
+        got = sorted(map(tuple, M.score_pairs(pairs, sets(spark, a), sets(spark, b), tau).collect()))
+        assert got == sorted((i, j, -e) for i, x in enumerate(a) for j, y in enumerate(b) if (e := A.edits_within(x, y, tau)) is not None)
+
+
+def test_ids_that_repeat_and_ids_that_are_missing_are_scored_as_joined(spark):
+    a = spark.createDataFrame([(1, "ACGT"), (1, "ACGG"), (None, "ACGT")], "seq_id int, seq string")
+    b = spark.createDataFrame([(2, "ACGTA"), (3, "TTTTTTTT")], "seq_id int, seq string")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (None, 2), (7, 2)], "a_id int, b_id int")
+    assert sorted(map(tuple, M.score_pairs(pairs, a, b, 1).collect())) == [(1, 2, -1), (1, 2, 0)]
