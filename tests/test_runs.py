@@ -162,7 +162,7 @@ def test_near_copies_travel_to_blocks_and_not_to_pairs(spark, monkeypatch):
 
 
 def test_ids_that_repeat_and_ids_that_are_missing_are_scored_as_joined(spark):
-    a = spark.createDataFrame([(1, "ACGT"), (1, "ACGG"), (None, "ACGT")], "seq_id int, seq string")
-    b = spark.createDataFrame([(2, "ACGTA"), (3, "TTTTTTTT")], "seq_id int, seq string")
-    pairs = spark.createDataFrame([(1, 2), (1, 3), (None, 2), (7, 2)], "a_id int, b_id int")
+    a = spark.createDataFrame([(1, "ACGT"), (1, "ACGG"), (None, "ACGT"), (5, None)], "seq_id int, seq string")
+    b = spark.createDataFrame([(2, "ACGTA"), (3, "TTTTTTTT"), (4, None)], "seq_id int, seq string")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (None, 2), (7, 2), (5, 2), (1, 4)], "a_id int, b_id int")
     assert sorted(map(tuple, M.score_pairs(pairs, a, b, 1).collect())) == [(1, 2, -1), (1, 2, 0)]
