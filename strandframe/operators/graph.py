@@ -63,14 +63,18 @@ def compress_paths(edges: DataFrame) -> DataFrame:
     together; a path is a component of that relation and takes its smallest edge
     id.  A closed path without branches starts at its smallest edge.
     """
-    inner = degrees(edges).where("n_in = 1 AND n_out = 1").select("v")
-    into = edges.select(F.col("edge_id").alias("src_edge"), F.col("dst").alias("v"))
-    out = edges.select(F.col("edge_id").alias("dst_edge"), F.col("src").alias("v"))
-    links = into.join(inner, "v", "left_semi").join(out, "v").select(F.col("src_edge").alias("src"), F.col("dst_edge").alias("dst"))
-    group = components(edges.select(F.col("edge_id").alias("id")), links).withColumnRenamed("id", "edge_id")
-    marked = (edges.join(group, "edge_id")
-              .join(inner.select(F.col("v").alias("src"), F.lit(True).alias("_src_inner")), "src", "left")
-              .join(inner.select(F.col("v").alias("dst"), F.lit(True).alias("_dst_inner")), "dst", "left"))
+    inner = settled(degrees(edges).where("n_in = 1 AND n_out = 1 AND v IS NOT NULL").select("v"))
+    if inner.isEmpty():
+        marked = edges.select("*", F.col("edge_id").alias("component"), *(F.lit(None).cast("boolean").alias(f"_{end}_inner") for end in ("src", "dst")))
+        marked = marked.where("edge_id IS NOT NULL")
+    else:
+        into = edges.select(F.col("edge_id").alias("src_edge"), F.col("dst").alias("v"))
+        out = edges.select(F.col("edge_id").alias("dst_edge"), F.col("src").alias("v"))
+        links = into.join(inner, "v", "left_semi").join(out, "v").select(F.col("src_edge").alias("src"), F.col("dst_edge").alias("dst"))
+        group = components(edges.select(F.col("edge_id").alias("id")), links).withColumnRenamed("id", "edge_id")
+        marked = (edges.join(group, "edge_id")
+                  .join(inner.select(F.col("v").alias("src"), F.lit(True).alias("_src_inner")), "src", "left")
+                  .join(inner.select(F.col("v").alias("dst"), F.lit(True).alias("_dst_inner")), "dst", "left"))
     first = F.max(F.when(F.col("_src_inner").isNull(), F.col("src")))
     last = F.max(F.when(F.col("_dst_inner").isNull(), F.col("dst")))
     start = F.min_by("src", "edge_id")
@@ -86,18 +90,19 @@ def _canonical(edges: DataFrame) -> Column:
     return F.least("edge_id", "conj_id") if "conj_id" in edges.columns else F.col("edge_id")
 
 
-def competitor_coverage(edges: DataFrame) -> DataFrame:
-    """Edges with ``rival``, the best coverage of another edge leaving ``src`` or entering ``dst``.
+def competitor_coverage(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """Edges (those of ``of``, if given) with ``rival``, the best coverage of another edge leaving ``src`` or entering ``dst``.
 
     The two best edges per vertex are kept, so an edge never counts as its own rival.
     """
     best = F.struct("coverage", "edge_id")
     def top_two(end: str) -> DataFrame:
-        one = edges.groupBy(end).agg(F.max(best).alias("_b1"))
-        two = edges.join(one, end).where(F.col("edge_id") != F.col("_b1.edge_id")).groupBy(end).agg(F.max("coverage").alias("_b2"))
+        near = edges if of is None else edges.join(of.select(end).distinct(), end, "left_semi")
+        one = near.groupBy(end).agg(F.max(best).alias("_b1"))
+        two = near.join(one, end).where(F.col("edge_id") != F.col("_b1.edge_id")).groupBy(end).agg(F.max("coverage").alias("_b2"))
         return one.join(two, end, "left").select(end, F.col("_b1.edge_id").alias(f"_{end}_id"),
                                                  F.col("_b1.coverage").alias(f"_{end}_c1"), F.col("_b2").alias(f"_{end}_c2"))
-    e = edges.join(top_two("src"), "src").join(top_two("dst"), "dst")
+    e = (edges if of is None else of).join(top_two("src"), "src").join(top_two("dst"), "dst")
     rival = lambda end: F.when(F.col("edge_id") == F.col(f"_{end}_id"), F.col(f"_{end}_c2")).otherwise(F.col(f"_{end}_c1"))
     return e.select(*edges.columns, F.coalesce(F.greatest(rival("src"), rival("dst")), F.lit(0.0)).alias("rival"))
 
@@ -105,13 +110,21 @@ def competitor_coverage(edges: DataFrame) -> DataFrame:
 def tips(edges: DataFrame, max_length: int, max_coverage: float | None = None,
          max_relative_coverage: float | None = None) -> DataFrame:
     """Short edges with a dead end on one side and an alternative on the other."""
-    d = with_degrees(edges)
-    dead = (F.col("dst_in") + F.col("dst_out") == 1) | (F.col("src_in") + F.col("src_out") == 1)
-    found = d.where(dead & (F.col("src_out") + F.col("dst_in") > 2) & (F.col("length") <= max_length))
+    d = settled(degrees(edges))
+    short = edges.where(F.col("length") <= max_length)
     if max_coverage is not None:
-        found = found.where(F.col("coverage") <= max_coverage)
+        short = short.where(F.col("coverage") <= max_coverage)
+    # few edges end where no other begins or ends: only these meet the degrees of their ends and their rivals
+    alone = d.where("n_in + n_out = 1").select("v", F.lit(True).alias("_alone"))
+    of = lambda end: alone.select(F.col("v").alias(end), F.col("_alone").alias(f"_{end}_alone"))
+    dead = settled(short.join(of("src"), "src", "left").join(of("dst"), "dst", "left").where("_src_alone OR _dst_alone").select(*edges.columns))
+    a = d.select(F.col("v").alias("src"), F.col("n_in").alias("src_in"), F.col("n_out").alias("src_out"))
+    b = d.select(F.col("v").alias("dst"), F.col("n_in").alias("dst_in"), F.col("n_out").alias("dst_out"))
+    found = dead.join(a, "src").join(b, "dst").where(F.col("src_out") + F.col("dst_in") > 2)
     if max_relative_coverage is not None:
-        rivals = competitor_coverage(edges).select("edge_id", "rival")
+        found = settled(found)
+        same_id = edges.join(found.select("edge_id").distinct(), "edge_id", "left_semi").select(*edges.columns)
+        rivals = competitor_coverage(edges, settled(same_id)).select("edge_id", "rival")
         found = found.join(rivals, "edge_id").where(F.col("coverage") <= max_relative_coverage * (F.col("rival") + 1))
     return found
 
@@ -119,7 +132,9 @@ def tips(edges: DataFrame, max_length: int, max_coverage: float | None = None,
 def clip_tips_once(edges: DataFrame, max_length: int, max_coverage: float | None = None,
                    max_relative_coverage: float | None = None) -> DataFrame:
     """Drop the tips of one round; the longest stays where all alternatives are tips."""
-    found = tips(edges, max_length, max_coverage, max_relative_coverage).withColumn("_canon", _canonical(edges))
+    found = settled(tips(edges, max_length, max_coverage, max_relative_coverage).withColumn("_canon", _canonical(edges)))
+    if found.isEmpty():
+        return edges
     ends_dead = F.col("dst_in") + F.col("dst_out") == 1
     placed = found.select("edge_id", "length", "_canon", F.when(ends_dead, F.col("src")).otherwise(F.col("dst")).alias("v"),
                           ends_dead.alias("forward"), F.when(ends_dead, F.col("src_out")).otherwise(F.col("dst_in")).alias("ways"))
@@ -132,10 +147,10 @@ def clip_tips_once(edges: DataFrame, max_length: int, max_coverage: float | None
 
 def _until_stable(edges: DataFrame, step) -> DataFrame:
     """Repeat ``step``, which never adds edges, until it takes none away."""
-    current = cut_lineage(edges)
+    current = settled(edges)
     n = current.count()
     while True:
-        nxt = cut_lineage(step(current))
+        nxt = settled(step(current))
         m = nxt.count()
         if m == n:
             return nxt

@@ -108,3 +108,21 @@ def test_ways_are_written_once_and_long_steps_stay_only_beside_negative_ones(spa
     assert len(calls) == 2
     back = edges.union(spark.createDataFrame([("e", 1, 5, -8, 1.0), ("f", 5, 6, 11, 1.0)], edges.schema))
     assert {(r.v, r.distance) for r in G.shortest_distances(back, start, 4).collect()} == {(1, 0), (4, 2), (3, 4), (5, -8), (6, 3)}
+
+
+def test_clipping_looks_at_few_edges(spark):
+    """Without a path to merge the edges are shuffled once, and no rival is sought without a tip."""
+    rows = [(f"{a}-{b}", a, b, 5 + a, 2.0 + b) for a in range(6) for b in range(10, 15)]
+    edges = spark.createDataFrame(rows, "edge_id string, src long, dst long, length long, coverage double")
+    plan = G.compress_paths(edges)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert G.clip_tips_once(edges, 100, 1000.0, 1.2) is edges
+    assert sorted(map(tuple, G.clip_tips(edges, 100, 1000.0, 1.2).collect())) == sorted(rows)
+
+
+def test_rivals_of_some_edges(spark):
+    rows = [(i, i % 4, 10 + i % 3, 3, float(i % 5)) for i in range(20)]
+    edges = spark.createDataFrame(rows, "edge_id long, src long, dst long, length long, coverage double")
+    some = edges.where("edge_id % 3 = 0")
+    whole = {r.edge_id: r.rival for r in G.competitor_coverage(edges).collect()}
+    assert {r.edge_id: r.rival for r in G.competitor_coverage(edges, some).collect()} == {i: whole[i] for i in range(0, 20, 3)}
