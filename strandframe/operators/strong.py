@@ -14,14 +14,13 @@ is solved by a depth-first search in one task.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.operators.components import components
+from strandframe.operators.parts import solve_parts, split_parts
 from strandframe.session import settled
 
-SMALL = 10_000  # links of a part that one task may hold
+SMALL = 10_000  # links of a part that one task may hold at a time
 TRIMS = 3  # rounds that take off edges without a way in or out before each colouring
 
 
@@ -82,29 +81,19 @@ def roots_of(arcs: list[tuple]) -> dict:
     return root
 
 
-def _small_parts(links: DataFrame) -> DataFrame:
-    """``v, component`` by one search for each part of ``src, dst, part``."""
-    kind = dict(links.dtypes)["src"]
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(roots_of(list(zip(rows["src"].tolist(), rows["dst"].tolist()))).items()), columns=["v", "component"])
-
-    return links.groupBy("part").applyInPandas(solve, f"v {kind}, component {kind}")
-
-
 def strong_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """``v, component``: the smallest vertex of the strongly connected component of each vertex.
 
     ``vertices`` has ``v``, ``edges`` has ``src, dst`` of the same type.
     """
-    links = _trimmed(edges.where("src <> dst").select("src", "dst").distinct())
-    part = components(links.select(F.col("src").alias("id")), links).withColumnRenamed("component", "part")
-    links = settled(links.join(part.withColumnRenamed("id", "src"), "src"))
-    large = settled(links.groupBy("part").count().where(F.col("count") > SMALL).select("part"))
-    small = settled(_small_parts(links.join(large, "part", "left_anti")))
-    links = links.join(large, "part", "left_semi").select("src", "dst")
+    kind = dict(edges.dtypes)["src"]
+    rows, links = split_parts(edges.where("src <> dst").select("src", "dst"), SMALL)
+    small = settled(solve_parts(rows, lambda arcs: list(roots_of(arcs).items()), f"v {kind}, component {kind}"))
+    if links is not None:  # without edges that lie on no cycle, much may fall apart
+        rows, links = split_parts(_trimmed(links.distinct()), SMALL)
+        small = small.unionByName(settled(solve_parts(rows, lambda arcs: list(roots_of(arcs).items()), f"v {kind}, component {kind}")))
     parts = None
-    while not links.isEmpty():
+    while links is not None and not links.isEmpty():
         colours = _colours(links)
         inside = (links.join(colours.select(F.col("v").alias("src"), "colour"), "src")
                   .join(colours.select(F.col("v").alias("dst"), F.col("colour").alias("_to")), "dst").where("colour = _to")

@@ -14,6 +14,7 @@ from strandframe.operators import graph as G
 from strandframe.operators.strong import strong_components
 from strandframe.plans import views as V
 from strandframe.plans.registry import query
+from strandframe.session import settled, shuffle_partitions
 
 
 def phrases(spark, d):
@@ -21,7 +22,9 @@ def phrases(spark, d):
     sentences = turns.select("conv_id", "turn", F.posexplode(F.split("text", "[.!?]")).alias("i", "s"))
     words = sentences.select(F.concat_ws(":", "conv_id", "turn", "i").alias("t"), F.transform(
         F.regexp_extract_all("s", F.lit("[A-Za-z]+"), F.lit(0)), F.lower).alias("w"))
-    pairs = words.where("size(w) > 1").select("t", F.explode(F.arrays_zip(F.expr("slice(w, 1, size(w) - 1)").alias("a"), F.expr("slice(w, 2, size(w) - 1)").alias("b"))).alias("p"))
+    # a sentence goes to one task as a whole, where its pairs are counted and stay side by side
+    whole = words.where("size(w) > 1").repartition(shuffle_partitions(spark), "t")
+    pairs = whole.select("t", F.explode(F.arrays_zip(F.expr("slice(w, 1, size(w) - 1)").alias("a"), F.expr("slice(w, 2, size(w) - 1)").alias("b"))).alias("p"))
     return pairs.groupBy("t", "p").agg(F.count("*").cast("double").alias("coverage")).select(
         F.concat_ws(":", "t", F.concat_ws(">", "p.a", "p.b")).alias("edge_id"), F.concat_ws(":", "t", "p.a").alias("src"),
         F.concat_ws(":", "t", "p.b").alias("dst"), F.length("p.b").cast("long").alias("length"), "coverage")
@@ -44,13 +47,13 @@ def phrase_edges(spark, d):
 @query("gr9_unneeded_edges")
 def gr9(spark, d):
     """No SQL: a maximum flow; held against augmenting paths on random graphs."""
-    return flow.unneeded_edges(phrases(spark, d), max_length=5, unique_length=9, plausible_length=7)
+    return flow.unneeded_edges(settled(phrases(spark, d)), max_length=5, unique_length=9, plausible_length=7)
 
 
 @query("gr12_strong_components", f"WITH RECURSIVE {PHRASES_SQL}, r AS (SELECT v, v AS u FROM deg UNION SELECT r.v, e.dst FROM r JOIN e ON e.src = r.u) "
        "SELECT a.v, MIN(a.u) AS component FROM r a JOIN r b ON a.v = b.u AND a.u = b.v GROUP BY a.v")
 def gr12_components(spark, d):
-    e = phrases(spark, d)
+    e = settled(phrases(spark, d).select("src", "dst"))
     return strong_components(G.used_vertices(e), e)
 
 
@@ -72,7 +75,7 @@ def gr12_resolved(spark, d):
 @query("gr12_loop_edges")
 def gr12_loops(spark, d):
     """No SQL: shortest ways with ties by edge; held against a plain search on random graphs."""
-    return loops.loop_edges(phrases(spark, d), splitting_length=7, max_vertices=20)
+    return loops.loop_edges(settled(phrases(spark, d)), splitting_length=7, max_vertices=20)
 
 
 @query("gr8_low_coverage_parts")
@@ -84,5 +87,5 @@ def gr8(spark, d):
 @query("gr25_forest_parts")
 def gr25(spark, d):
     """No SQL: which tree spans is left open; tests hold the parts against their contract."""
-    e = phrases(spark, d)
+    e = settled(phrases(spark, d).select("src", "dst"))
     return forest.forest_parts(G.used_vertices(e), e, 4)

@@ -215,3 +215,63 @@ def test_low_coverage_parts(spark):
     assert seeds() == {"b1": {"b1", "b2"}, "t1": {"t1"}}
     assert seeds(max_way=8) == {"t1": {"t1"}}  # the way beside the line has 8 bases
     assert seeds(max_inner=0) == {}
+
+
+def no_rounds(*_):
+    raise AssertionError("small parts need no rounds")
+
+
+def test_small_parts_need_no_rounds(spark, monkeypatch):
+    """Graphs of small parts are solved without rounds over all edges, and as the rounds solve them."""
+    from strandframe.operators import components as C
+    rng = random.Random(13)
+    edges = [(i, a, b, rng.choice([2, 3, 6, 9])) for i, (a, b) in enumerate(random_arcs(13, groups=60, most=14))]
+    df = spark.createDataFrame([(*e, 1.0) for e in edges], "edge_id long, src long, dst long, length long, coverage double").cache()
+    run = {
+        "forest": lambda: forest.forest_parts(G.used_vertices(df), df, 4),
+        "flow": lambda: flow.unneeded_edges(df, 3, 9, 6),
+        "loops": lambda: loops.loop_edges(df, 9, 6, 5, 14),
+    }
+    with monkeypatch.context() as m:
+        for module, name in ((C, "_large_star"), (forest, "spanning_forest"), (flow, "with_degrees"), (loops, "shortest_ways"), (strong, "_colours")):
+            m.setattr(module, name, no_rounds)
+        strong.strong_components(G.used_vertices(df), df)
+        got = {k: sorted(map(tuple, f().collect())) for k, f in run.items()}
+    for module in (forest, flow, loops):
+        monkeypatch.setattr(module, "SMALL", 0)
+    assert got == {k: sorted(map(tuple, f().collect())) for k, f in run.items()} and all(got.values())
+
+
+def test_parts_of_both_kinds(spark, monkeypatch):
+    """Some parts in one task, some in rounds, text ids, a vertex without edges and edges with a NULL end."""
+    name = lambda v: f"é{v}" if v % 2 else f"z{v}"
+    arcs = [(name(a), name(b)) for a, b in random_arcs(17, groups=20, most=12)]
+    df = spark.createDataFrame([(i, a, b, 2, 1.0) for i, (a, b) in enumerate(arcs)] + [(-1, None, arcs[0][1], 2, 1.0), (-2, arcs[0][0], None, 2, 1.0)],
+                               "edge_id long, src string, dst string, length long, coverage double").cache()
+    vertices = G.used_vertices(df).where("v IS NOT NULL").union(spark.createDataFrame([("alone",)], "v string"))
+    run = [lambda: forest.forest_parts(vertices, df, 3), lambda: strong.strong_components(vertices, df),
+           lambda: flow.unneeded_edges(df, 3, 9, 6), lambda: loops.loop_edges(df, 9, 6, 5, 14)]
+    results = []
+    for most in (0, 6, 10_000):
+        for module in (forest, strong, flow, loops):
+            monkeypatch.setattr(module, "SMALL", most)
+        results.append([sorted(map(tuple, f().collect())) for f in run])
+    assert results[0] == results[1] == results[2] and ("alone", "alone") in results[0][0]
+    far = reached(arcs)
+    assert dict(results[0][1]) == {"alone": "alone"} | {v: min(w for w in far[v] if v in far[w]) for v in far}
+
+
+@pytest.mark.parametrize("chunk", [200_000, 7])
+def test_components_over_chunks(spark, monkeypatch, chunk):
+    from strandframe.operators import components as C
+    monkeypatch.setattr(C, "CHUNK", chunk)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        arcs = random_arcs(19, groups=40, most=12) + [(9000 + (i * 37) % 50, 9000 + (i * 37 + 37) % 50) for i in range(50)]
+        df = spark.createDataFrame([(str(a), str(b)) for a, b in arcs] + [(None, "1"), ("2", None)], "src string, dst string").repartition(5, "src")
+        far = reached([(str(x), str(y)) for a, b in arcs for x, y in ((a, b), (b, a))])
+        got = C.components(G.used_vertices(df).withColumnRenamed("v", "id").where("id IS NOT NULL"), df).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r["id"]: r["component"] for r in got} == {v: min(own) for v, own in far.items()} | {v: v for v in ("1", "2") if v not in far}
+    assert len(got) == len({r["id"] for r in got})
