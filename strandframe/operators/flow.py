@@ -8,18 +8,22 @@ lets all excess go down these distances, one level in each pulse.  Phases end wh
 no excess reaches room: what has arrived then is the maximum, since the vertices
 that excess still reaches form a saturated cut.
 
-Parts of at most ``SMALL`` arcs and units need no rounds: each is solved by shortest
+Parts of the graph that hang together by at most ``SMALL`` edges need no rounds, nor do
+parts of at most ``SMALL`` arcs and units in larger ones: each is solved by shortest
 augmenting paths in one task.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandframe.operators.components import components
+from strandframe.operators.components import components, smallest_joined
 from strandframe.operators.graph import compress_paths, used_vertices, with_degrees
+from strandframe.operators.parts import solve_parts, split_parts
 from strandframe.operators.strong import roots_of, strong_components
 from strandframe.session import settled
 
@@ -81,6 +85,8 @@ def residual_components(arcs: list[tuple]) -> dict:
 
     ``arcs``: ``(u, v)`` between vertices, ``(None, v)`` a unit that comes in at ``v``, ``(u, None)`` one that leaves at ``u``.
     """
+    if sum(u is None for u, _ in arcs) != sum(v is None for _, v in arcs):
+        return {}
     left: dict = {}
     for u, v in arcs:
         if u != v:
@@ -126,6 +132,28 @@ def _small_parts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("part").applyInPandas(solve, f"v {kind}, component {kind}")
 
 
+def unneeded_in_part(edges: list[tuple], max_length: int, unique_length: int, plausible_length: int) -> list[tuple]:
+    """``unneeded_edges`` of a whole graph of ``edge_id, src, dst, length``."""
+    degree = Counter(v for e in edges for v in e[1:3] if v is not None)
+    edges = [(*e, degree[e[1]] == 1 or degree[e[2]] == 1) for e in edges if None not in e[1:]]
+    doubtful = [(e, s, d) for e, s, d, n, tip in edges if n <= max_length and not tip]
+    if not doubtful:
+        return []
+    of = smallest_joined((s, d) for _, s, d, n, _ in edges if n < unique_length)
+    pairs: dict = {of[s]: [] for _, s, _ in doubtful}
+    for _, s, d, n, tip in edges:
+        if n < unique_length:
+            if of[s] in pairs:
+                pairs[of[s]].append((s, d))
+        if n >= unique_length or n >= plausible_length and not tip:
+            if of.get(d) in pairs:
+                pairs[of[d]].append((None, d))
+            if of.get(s) in pairs:
+                pairs[of[s]].append((s, None))
+    found = {part: residual_components(own) for part, own in pairs.items()}
+    return [(e,) for e, s, d in doubtful if s in found[of[s]] and found[of[s]][s] != found[of[s]][d]]
+
+
 def unneeded_edges(edges: DataFrame, max_length: int, unique_length: int, plausible_length: int) -> DataFrame:
     """``edge_id`` of short edges that no flow through their part of the graph can use.
 
@@ -135,6 +163,14 @@ def unneeded_edges(edges: DataFrame, max_length: int, unique_length: int, plausi
     """
     if not unique_length >= plausible_length > max_length:
         raise ValueError("unique_length >= plausible_length > max_length must hold")
+    rows, large = split_parts(edges.select("edge_id", "src", "dst", "length"), SMALL)
+    small = solve_parts(rows, lambda own: unneeded_in_part(own, max_length, unique_length, plausible_length),
+                        f"edge_id {dict(edges.dtypes)['edge_id']}")
+    return small if large is None else small.unionByName(_unneeded_in_rounds(large, max_length, unique_length, plausible_length))
+
+
+def _unneeded_in_rounds(edges: DataFrame, max_length: int, unique_length: int, plausible_length: int) -> DataFrame:
+    """The same for parts of any size."""
     alone = lambda end: F.col(f"{end}_in") + F.col(f"{end}_out") == 1
     marked = settled(with_degrees(edges).select("edge_id", "src", "dst", "length", (alone("src") | alone("dst")).alias("tip")))
     strong = marked.where((F.col("length") >= unique_length) | ((F.col("length") >= plausible_length) & ~F.col("tip")))
