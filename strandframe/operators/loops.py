@@ -1,14 +1,23 @@
-"""Loops: parts of the graph with one way in and one way out, and self-loops on a path."""
+"""Loops: parts of the graph with one way in and one way out, and self-loops on a path.
+
+What hangs together by at most ``SMALL`` edges needs no rounds: it is searched by a
+plain function in one task.
+"""
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.operators.components import components
+from strandframe.operators.components import components, smallest_joined
 from strandframe.operators.graph import compress_paths, resolvable_loops, used_vertices
+from strandframe.operators.parts import solve_parts, split_parts
 from strandframe.session import settled
 
+SMALL = 10_000  # edges of a part that one task may hold at a time
+
 
 def through_parts(edges: DataFrame, splitting_length: int, max_vertices: int) -> tuple[DataFrame, DataFrame]:
     """``part, start, finish`` of parts entered and left by one edge each, and their inner edges with ``part``.
@@ -50,11 +59,70 @@ def shortest_ways(parts: DataFrame, inner: DataFrame) -> DataFrame:
         way = way.unionByName(at.select("part", F.col("via").alias("edge_id")))
 
 
+def fewest_edges(inner: list[tuple], start, finish) -> list | None:
+    """Edges of the way that ``shortest_ways`` takes through ``edge_id, src, dst`` rows, None if there is none."""
+    out: dict = {}
+    for e, s, d in inner:
+        out.setdefault(s, []).append((e is not None, e, s, d))
+    via, level = {start: None}, [start]
+    while level and finish not in via:
+        fresh: dict = {}
+        for v in level:
+            for row in out.get(v, ()):
+                if row[3] not in via and (row[3] not in fresh or row < fresh[row[3]]):
+                    fresh[row[3]] = row
+        via.update(fresh)
+        level = list(fresh)
+    if finish not in via:
+        return None
+    way, v = [], finish
+    while via[v]:
+        way.append(via[v][1])
+        v = via[v][2]
+    return way
+
+
+def loops_in_part(edges: list[tuple], splitting_length: int, max_vertices: int, longest: int, total: int) -> list[tuple]:
+    """``loop_edges`` of a whole graph of ``edge_id, src, dst, length``."""
+    of = {v: v for e in edges for v in e[1:3] if v is not None}
+    edges = [e for e in edges if e[1] is not None and e[2] is not None]
+    of.update(smallest_joined((s, d) for _, s, d, n in edges if n is not None and n < splitting_length))
+    count, into, out, inner = Counter(of.values()), {}, {}, {}
+    for e, s, d, n in edges:
+        if of[s] != of[d]:
+            into.setdefault(of[d], []).append(d)
+            out.setdefault(of[s], []).append(s)
+        else:
+            inner.setdefault(of[s], []).append((e, s, d, n))
+    beside, on_way = [], set()
+    for part, own in inner.items():
+        if count[part] <= max_vertices and len(into.get(part, ())) == 1 and len(out.get(part, ())) == 1:
+            way = fewest_edges([e[:3] for e in own], into[part][0], out[part][0])
+            if way is not None:
+                on_way.update(way)
+                beside.append(own)
+    found = []
+    for own in beside:
+        extra = [e for e in own if e[0] not in on_way]
+        lengths = [e[3] for e in extra if e[3] is not None]
+        if lengths and max(lengths) <= longest and sum(lengths) <= total:
+            found += [(e[0],) for e in extra]
+    return found
+
+
 def loop_edges(edges: DataFrame, splitting_length: int, max_vertices: int, longest: int = 500, total: int = 3000) -> DataFrame:
     """``edge_id`` of inner edges beside the way through a part, where none of them exceeds ``longest`` nor all ``total``.
 
     Where start and finish are one vertex all inner edges are beside the way.
     """
+    rows, large = split_parts(edges.select("edge_id", "src", "dst", "length"), SMALL)
+    small = solve_parts(rows, lambda own: loops_in_part(own, splitting_length, max_vertices, longest, total),
+                        f"edge_id {dict(edges.dtypes)['edge_id']}")
+    return small if large is None else small.unionByName(_loops_in_rounds(large, splitting_length, max_vertices, longest, total))
+
+
+def _loops_in_rounds(edges: DataFrame, splitting_length: int, max_vertices: int, longest: int, total: int) -> DataFrame:
+    """The same for parts of any size."""
     parts, inner = through_parts(edges, splitting_length, max_vertices)
     inner = settled(inner)
     way = settled(shortest_ways(parts, inner))
