@@ -5,6 +5,9 @@ Boruvka's rounds for the forest, pointer doubling along Euler tours for the subt
 sizes, pointer doubling over parents for the parts.  A tour passes from neighbour to
 neighbour of a vertex in order of their ids, found over key ranges, so a hub is
 spread over several tasks.
+
+Parts of the graph that hang together by at most ``SMALL`` edges need no rounds: each
+is divided by a plain function in one task.
 """
 
 from __future__ import annotations
@@ -14,8 +17,11 @@ from pyspark.sql import functions as F
 
 from strandframe.operators.components import components
 from strandframe.operators.ordering import keyed_previous, keyed_ranges
+from strandframe.operators.parts import solve_parts, split_parts
 from strandframe.session import settled
 
+SMALL = 10_000  # edges of a part that one task may hold at a time
+
 
 def spanning_forest(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tree edges ``a, b`` (``a < b``) and ``v, tree``, the smallest vertex of each vertex' tree.
@@ -66,6 +72,42 @@ def rooted(forest: DataFrame, labels: DataFrame) -> DataFrame:
     return labels.join(down, "v", "left").join(whole, "tree").select("v", "parent", F.coalesce("size", "_n").alias("size"))
 
 
+def divided(pairs: list[tuple], size: int) -> dict:
+    """Vertex -> part, as ``forest_parts`` has it, of a connected graph."""
+    up: dict = {}
+
+    def top(x):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    near: dict = {}
+    for a, b in sorted({(min(p), max(p)) for p in pairs if p[0] != p[1]}):  # with ordered edges there is one smallest forest
+        near.setdefault(a, [])
+        near.setdefault(b, [])
+        ra, rb = top(up.setdefault(a, a)), top(up.setdefault(b, b))
+        if ra != rb:
+            up[ra] = rb
+            near[a].append(b)
+            near[b].append(a)
+    if not near:
+        return {}
+    root = min(near)
+    parent, order = {root: None}, [root]
+    for v in order:
+        for w in near[v]:
+            if w not in parent:
+                parent[w] = v
+                order.append(w)
+    count, below, part = dict.fromkeys(order, 1), dict.fromkeys(order, 0), {}
+    for v in reversed(order[1:]):
+        count[parent[v]] += count[v]
+        below[parent[v]] += count[v] // size
+    for v in order:
+        part[v] = v if v == root or count[v] // size > below[v] else part[parent[v]]
+    return part
+
+
 def forest_parts(vertices: DataFrame, edges: DataFrame, size: int) -> DataFrame:
     """``v, part``: connected parts of about ``size`` vertices, named by their topmost vertex in the tree.
 
@@ -73,6 +115,18 @@ def forest_parts(vertices: DataFrame, edges: DataFrame, size: int) -> DataFrame:
     is a root.  So there are at most ``n / size`` parts beside those of the roots, every vertex is in one of them, each
     is connected by tree edges, and a part has at most ``1 + c * (size - 1)`` vertices, ``c`` being the children of its head.
     """
+    kind = dict(edges.dtypes)["src"]
+    vertices = vertices.select("v").where("v IS NOT NULL").distinct()
+    rows, large = split_parts(edges.where("src <> dst").select("src", "dst"), SMALL)
+    small = settled(solve_parts(rows, lambda pairs: list(divided(pairs, size).items()), f"v {kind}, part {kind}"))
+    if large is None:
+        return vertices.join(small, "v", "left").select("v", F.coalesce("part", "v").alias("part"))
+    rest = settled(vertices.join(small, "v", "left_anti"))
+    return _parts_in_rounds(rest, large, size).unionByName(vertices.join(small, "v").select("v", "part"))
+
+
+def _parts_in_rounds(vertices: DataFrame, edges: DataFrame, size: int) -> DataFrame:
+    """The same for parts of any size."""
     forest, labels = spanning_forest(vertices, edges)
     trees = settled(rooted(forest, labels).withColumn("k", F.expr(f"size div {size}")))
     below = trees.where("parent IS NOT NULL").groupBy(F.col("parent").alias("v")).agg(F.sum("k").alias("_below"))
