@@ -300,10 +300,17 @@ def resolvable_loops(edges: DataFrame, variation: float) -> DataFrame:
 
     ``edge_id, v, before_id, after_id``.
     """
-    d = degrees(edges).where("n_in = 2 AND n_out = 2")
-    loops = edges.where("src = dst").select(F.col("edge_id"), F.col("src").alias("v"), F.col("coverage").alias("c")).join(d, "v", "left_semi")
-    before = edges.where("src <> dst").select(F.col("dst").alias("v"), F.col("edge_id").alias("before_id"), F.col("coverage").alias("cb"))
-    after = edges.where("src <> dst").select(F.col("src").alias("v"), F.col("edge_id").alias("after_id"), F.col("coverage").alias("ca"))
+    # written once: the optimizer takes edges made from k-mers for as small as their texts and would broadcast them
+    edges = settled(edges.select("edge_id", "src", "dst", "coverage"))
+    loops = settled(edges.where("src = dst").select("edge_id", F.col("src").alias("v"), F.col("coverage").alias("c")))
+    at = loops.select("v").distinct()  # only edges that touch a loop go on
+    near = lambda end, edge_id, coverage: settled(edges.select(
+        F.col(end).alias("v"), F.col("edge_id").alias(edge_id), F.col("coverage").alias(coverage), (F.col("src") == F.col("dst")).alias("_loop"))
+        .join(at, "v", "left_semi"))
+    before, after = near("dst", "before_id", "cb"), near("src", "after_id", "ca")
+    two = lambda side: side.groupBy("v").agg(F.count("*").alias("n")).where("n = 2").select("v")
+    loops = loops.join(two(before), "v", "left_semi").join(two(after), "v", "left_semi")
+    before, after = (side.where("NOT _loop").drop("_loop") for side in (before, after))
     fits = F.abs((F.col("ca") + F.col("cb")) / 2 - F.col("c")) <= variation * F.col("c")
     return loops.join(before, "v").join(after, "v").where(fits).select("edge_id", "v", "before_id", "after_id")
 

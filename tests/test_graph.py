@@ -71,6 +71,21 @@ def test_loops_on_a_path(spark):
     assert [tuple(r) for r in G.resolvable_loops(edges, 0.1).collect()] == [(2, 2, 1, 3)]
 
 
+def test_loops_of_kmers_are_cut_once(spark):
+    """The k-mers are written, not cut again for each join, and never broadcast for the small size of their texts."""
+    texts = [(0, "ACCAAAAG"), (1, "TGTTTTTC"), (2, None)]
+    edges = G.de_bruijn_edges(spark.createDataFrame(texts, "read_id long, seq string"), 3)
+    found = G.resolvable_loops(edges, 0.9)
+    assert {tuple(r) for r in found.collect()} == {("AAAA", "AAA", "CAAA", "AAAG"), ("TTTT", "TTT", "GTTT", "TTTC")}
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_loops_off_a_simple_path(spark):
+    rows = [(1, 1, 2, 1.0), (2, 2, 2, 1.0), (3, 2, 3, 1.0), (4, 2, 5, 1.0), (5, 6, 7, 1.0), (6, 7, 7, 1.0), (7, 7, 7, 1.0), (8, None, 9, 1.0), (9, 9, 9, 1.0), (10, 9, None, 1.0), (11, None, None, 1.0)]
+    edges = spark.createDataFrame(rows, "edge_id long, src long, dst long, coverage double")
+    assert [tuple(r) for r in G.resolvable_loops(edges, 0.9).collect()] == []  # two ways out; two loops; open ends
+
+
 def test_distances_and_path_lengths(spark):
     rows = [(1, 1, 2, 3, 1.0), (2, 2, 3, 3, 1.0), (3, 1, 3, 10, 1.0), (4, 3, 1, 1, 1.0)]
     edges = spark.createDataFrame(rows, "edge_id long, src long, dst long, length long, coverage double")
