@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandframe.functions import alignment as A
 from strandframe.functions import sequences as S
 from strandframe.operators.components import components
 from strandframe.operators.kmers import sought_kmers
@@ -45,11 +46,13 @@ def exact_overlaps(seqs: DataFrame, min_overlap: int = 200) -> DataFrame:
         F.col("overlap") >= min_overlap).distinct()
     one = long_enough.select(F.col("seq_id").alias("id1"), F.col("seq").alias("_s1"))
     two = long_enough.select(F.col("seq_id").alias("id2"), F.col("seq").alias("_s2"))
-    other = F.when(F.col("reverse"), S.reverse_complement("_s2")).otherwise(F.col("_s2"))
-    true_ones = placed.join(one, "id1").join(two, "id2").where(
-        S.piece("_s1", F.col("start1"), F.col("overlap")) == S.piece(other, F.col("start2"), F.col("overlap"))).drop("_s1", "_s2")
-    first = F.struct("reverse", (F.col("start1") - F.col("start2")).alias("d"))
-    return true_ones.groupBy("id1", "id2").agg(F.min_by(F.struct("reverse", "start1", "start2", "overlap"), first).alias("o")).select("id1", "id2", "o.*")
+    # repeats give many places of one pair, for which its sequences travel once
+    ways = placed.groupBy("id1", "id2").agg(F.array_sort(F.collect_list(F.struct(
+        "reverse", (F.col("start1") - F.col("start2")).alias("d"), "start1", "start2", "overlap"))).alias("c"))
+    at = A.first_equal("_s1", "_s2", F.col("c.reverse"), F.col("c.start1"), F.col("c.start2"), F.col("c.overlap"))
+    true_ones = ways.join(one, "id1").join(two, "id2").select("id1", "id2", "c", at.alias("_at")).where("_at IS NOT NULL")
+    return true_ones.groupBy("id1", "id2").agg(F.min(F.get("c", F.col("_at"))).alias("o")).select(
+        "id1", "id2", "o.reverse", "o.start1", "o.start2", "o.overlap")
 
 
 def overlap_superstrings(overlaps: DataFrame, seqs: DataFrame) -> DataFrame:
@@ -62,12 +65,15 @@ def overlap_superstrings(overlaps: DataFrame, seqs: DataFrame) -> DataFrame:
 
 
 def cluster_overlaps(reads: DataFrame, min_overlap: int = 200) -> DataFrame:
-    """``read_id, cluster_id``: reads linked by exact overlaps, over any number of steps."""
-    seqs = sequence_sets(reads)
+    """``read_id, cluster_id``: reads linked by exact overlaps, over any number of steps.
+
+    The distinct sequences are written once; reads reach theirs over its digest.
+    """
+    seqs = settled(sequence_sets(reads).withColumn("digest", F.sha2("seq", 256)))
     links = exact_overlaps(seqs, min_overlap)
     found = components(seqs.select(F.col("seq_id").alias("id")), links.select(F.col("id1").alias("src"), F.col("id2").alias("dst")))
-    named = seqs.join(found.select(F.col("id").alias("seq_id"), F.col("component").alias("cluster_id")), "seq_id")
-    return reads.select("read_id", "seq").join(named.select("seq", "cluster_id"), "seq").select("read_id", "cluster_id")
+    named = seqs.select("seq_id", "digest").join(found.select(F.col("id").alias("seq_id"), F.col("component").alias("cluster_id")), "seq_id")
+    return reads.select("read_id", F.sha2("seq", 256).alias("digest")).join(named.select("digest", "cluster_id"), "digest").select("read_id", "cluster_id")
 
 
 def longest_members(reads: DataFrame, clusters: DataFrame) -> DataFrame:

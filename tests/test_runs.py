@@ -3,11 +3,12 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandframe.functions import alignment as A
-from strandframe.functions.minimizers import core_length, kmer_runs, runs
+from strandframe.functions.minimizers import WORDS, bin_marks, core_length, kmer_runs, marked, runs
 from strandframe.operators import kmers as K
 from strandframe.operators import overlaps as O
 from strandframe.operators import similarity as M
@@ -166,3 +167,59 @@ def test_ids_that_repeat_and_ids_that_are_missing_are_scored_as_joined(spark):
     b = spark.createDataFrame([(2, "ACGTA"), (3, "TTTTTTTT"), (4, None)], "seq_id int, seq string")
     pairs = spark.createDataFrame([(1, 2), (1, 3), (None, 2), (7, 2), (5, 2), (1, 4)], "a_id int, b_id int")
     assert sorted(map(tuple, M.score_pairs(pairs, a, b, 1).collect())) == [(1, 2, -1), (1, 2, 0)]
+
+
+def test_only_runs_with_a_wanted_bin_travel(spark):
+    own = texts(40, 9, 900)
+    reads = spark.createDataFrame(list(enumerate(own)), "seq_id int, seq string")
+    wanted = spark.createDataFrame([(own[i][5:25],) for i in range(0, 40, 8) if len(own[i]) > 25] + [("A" * 20,), (None,), ("AC",)], "kmer string")
+    asked = kmer_runs(wanted, 20, [], "kmer").select("bin")
+    bins = {r.bin for r in asked.collect()}
+    every = [tuple(r) for r in kmer_runs(reads, 20, ["seq_id"]).collect()]
+    some = [tuple(r) for r in kmer_runs(reads, 20, ["seq_id"], marks=bin_marks(asked)).collect()]
+    assert sorted(some) == sorted(r for r in every if r[1] in bins) and 0 < len(some) < len(every) / 2
+    found = sorted((r.seq_id, r.pos) for r in K.sought_kmers(reads, 20, ["seq_id"], wanted).collect())
+    sought = {r.kmer for r in wanted.collect()}
+    assert found == [(i, p) for i, s in enumerate(own) for p in range(len(s) - 19) if s[p:p + 20] in sought]
+
+
+def test_no_marks_and_marks_of_any_bin():
+    none = np.zeros(WORDS, np.uint64)
+    bins = np.array([0, -1, 1 << 40, -(1 << 63), 12345], np.int64)
+    assert not marked(bins, none).any() and marked(bins, ~none).all()
+
+
+def test_overlap_clusters_of_copies_and_missing_sequences(spark):
+    rng = random.Random(8)
+    base = rand(400, rng)
+    rows = [(1, base), (2, base), (3, base[150:] + rand(50, rng)), (4, rand(300, rng)), (5, "ACGT"), (6, "ACGT"), (7, None), (8, None)]
+    found = O.cluster_overlaps(spark.createDataFrame(rows, "read_id int, seq string"))
+    assert {tuple(r) for r in found.collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 5)}
+    assert "hashpartitioning(seq" not in plan(found)  # sequences travel once, reads meet theirs over digests
+
+
+def test_places_of_a_pair_are_compared_together(spark):
+    """Two repeats meet at many places of either strand; their sequences travel once."""
+    unit = "ACCT" * 30
+    rows = [(1, "G" + unit + "GG"), (2, unit + "TT"), (3, "TTTT" + unit), (4, unit[:60] + "C" * 20)]
+    found = O.exact_overlaps(spark.createDataFrame(rows, "seq_id int, seq string"), 12)
+    assert "collect_list" in plan(found)
+    assert sorted(map(tuple, found.collect())) == brute_cuts(rows, 12)
+
+
+def brute_cuts(rows, least):
+    out = []
+    for i, x in rows:
+        for j, y in rows:
+            if i < j:
+                z, ways = y.translate(str.maketrans("ACGT", "TGCA"))[::-1], []
+                for back, t in ((False, y), (True, z)):
+                    for d in range(-len(t) + least, len(x) - least + 1):
+                        a, b = max(d, 0), max(-d, 0)
+                        n = min(len(x) - a, len(t) - b)
+                        if n >= least and x[a:a + n] == t[b:b + n]:
+                            ways.append((back, d, a, b, n))
+                if ways:
+                    back, _, a, b, n = min(ways)
+                    out.append((i, j, back, a, b, n))
+    return sorted(out)
