@@ -223,3 +223,29 @@ def brute_cuts(rows, least):
                     back, _, a, b, n = min(ways)
                     out.append((i, j, back, a, b, n))
     return sorted(out)
+
+
+@pytest.mark.parametrize("tau", [0, 3])
+def test_only_what_a_score_looks_at_goes_to_a_block(spark, monkeypatch, tau):
+    """Long reads meet short ones with as many bases as count; the scores are those of the whole reads."""
+    rng = random.Random(12 + tau)
+    long = [rand(900, rng) for _ in range(4)]
+    short = [mutate(x[:rng.randrange(20, 60)], rng.randrange(tau + 1), rng) for x in long for _ in range(3)] + ["A", "ACG"]
+    rows, sent = set(), M.F.substr
+    monkeypatch.setattr(M.F, "substr", lambda *a: rows.add(str(a[2])) or sent(*a))
+    a, b = sets(spark, long + short[:4]), sets(spark, short + long[:2])
+    pairs = a.select(F.col("seq_id").alias("a_id")).crossJoin(b.select(F.col("seq_id").alias("b_id")))
+    got = sorted(map(tuple, M.score_pairs(pairs, a, b, tau).collect()))
+    ids = lambda df: [(r.seq_id, r.seq) for r in df.collect()]
+    assert got == sorted((i, j, -e) for i, x in ids(a) for j, y in ids(b) if (e := A.edits_within(x, y, tau)) is not None)
+    assert any("_cut" in r for r in rows)
+
+
+def test_first_difference_in_blocks_of_any_size():
+    rng = random.Random(3)
+    for n in (1, 2, 63, 64, 65, 200, 700):
+        a = rand(n, rng)
+        for at in sorted({0, 1, n // 2, n - 1, 62, 63, 64} & set(range(n))):
+            b = a[:at] + "N" + a[at + 1:]
+            assert A._agreeing(a.encode(), 0, b.encode(), 0) == at
+        assert A._agreeing(a.encode(), 0, (a + "C").encode(), 0) == n
